@@ -52,3 +52,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.decontam import decontamination_report
 
     return decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op7_warc",
+    """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+    g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest, CASE WHEN n < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN n < 100 OR page_id = first THEN NULL ELSE first END AS refers_to
+    FROM g
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import page_catalogue
+
+    return page_catalogue(table(spark, sf_dir, "pages"))
