@@ -91,3 +91,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return digest_conversations(format_conversations(rows)).withColumnRenamed("key", "conv_id")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import predict_documents
+
+    return predict_documents(table(spark, sf_dir, "documents"))
