@@ -98,3 +98,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.langid import predict_documents
 
     return predict_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.tokencount import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
