@@ -107,3 +107,34 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.tokencount import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+def _license_sql() -> str:
+    from tidemark.llm.licenses import CONTAINMENT, PHRASES, TEMPLATES, tokens_of
+
+    low = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    quote = lambda toks: "[" + ", ".join(f"'{t}'" for t in toks) + "]"
+    templates = ", ".join(f"('{label}', {quote(sorted(set(tokens_of(t))))})" for label, t in TEMPLATES.items())
+    phrases = ", ".join(f"('{label}', {quote(tokens_of(p))})" for p, label in PHRASES.items())
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT r, doc_id, {low.format("text")} AS w FROM docs),
+    t(label, t) AS (VALUES {templates}),
+    p(label, p) AS (VALUES {phrases}),
+    hits AS (SELECT r, label, i - 1 AS pos FROM (SELECT r, w, label, p, unnest(range(1, len(w) + 1)) AS i FROM w, p) WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
+    lines AS (SELECT r, list_distinct({low.format("line")}) AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+    found AS (SELECT r, label, max(len(list_intersect(b, t)) / len(t)) AS c FROM lines, t WHERE len(list_intersect(b, t)) >= ceil({CONTAINMENT} * len(t) - 1e-9) GROUP BY r, label),
+    h AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM hits GROUP BY r),
+    f AS (SELECT r, max(c) AS c FROM found GROUP BY r),
+    l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM (SELECT r, label FROM hits UNION SELECT r, label FROM found) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_base, CAST(h.a AS BIGINT) AS first_word, CAST(h.z AS BIGINT) AS last_word,
+      coalesce(h.s, '') AS base_labels, coalesce(l.s, '') AS labels, CAST(CASE WHEN h.n > 0 THEN 1 ELSE coalesce(f.c, 0) END AS DOUBLE) AS score
+    FROM w LEFT JOIN h USING (r) LEFT JOIN f USING (r) LEFT JOIN l USING (r)
+    """
+
+
+@query("op3_license_scan", _license_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import license_report
+
+    return license_report(table(spark, sf_dir, "documents"))
