@@ -138,3 +138,39 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.licenses import license_report
 
     return license_report(table(spark, sf_dir, "documents"))
+
+
+def _multiset_sql() -> str:
+    from tidemark.llm.multiset import CELLS, LANES
+
+    digits = lambda k: f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS UBIGINT)"
+    lanes = ", ".join(f"sum(CAST({digits(k)} AS HUGEINT)) & 4294967295 AS l{k}" for k in range(LANES))
+    hexes = " || ".join(f"printf('%08x', CAST(coalesce(l{k}, 0) AS BIGINT))" for k in range(LANES))
+    return f"""
+    WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC) AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    n AS (SELECT *, length(text) AS n, coalesce(lead(text) OVER (ORDER BY r), first_value(text) OVER (ORDER BY r)) AS nxt FROM d),
+    e AS (SELECT *, left(text, n - n // 2) || left(nxt, n // 2) AS changed FROM n),
+    v AS (SELECT r, 0 AS kind, text AS t FROM e UNION ALL SELECT r, 1, changed FROM e),
+    p AS (SELECT r, kind, unnest(string_split(regexp_replace(t, '([.!?]) +', '\\1' || chr(10), 'g'), chr(10))) AS p FROM v),
+    h AS (SELECT r, kind, sha256(encode(p)) || sha256('\\x01'::BLOB || encode(p)) AS h FROM p WHERE p <> ''),
+    l AS (SELECT r, kind, count(*) AS c, {lanes} FROM h GROUP BY r, kind),
+    c AS (SELECT r, kind, {digits(0)} % {CELLS} AS cell, CAST(sum(CASE WHEN {digits(1)} % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS s FROM h GROUP BY ALL),
+    g AS (SELECT v.r, v.kind, k AS cell, coalesce(s, 0) AS s FROM v CROSS JOIN (SELECT unnest(range({CELLS})) AS k) LEFT JOIN c ON c.r = v.r AND c.kind = v.kind AND c.cell = k),
+    f AS (
+      SELECT r, kind, printf('%08x', CAST(coalesce(c, 0) AS BIGINT)) || {hexes} || t AS f, coalesce(c, 0) AS c, s
+      FROM (SELECT r, kind, string_agg(printf('%04x', s & 65535), '' ORDER BY cell) AS t, list(s ORDER BY cell) AS s FROM g GROUP BY r, kind) LEFT JOIN l USING (r, kind)),
+    m AS (SELECT count(*) AS m FROM d),
+    j AS (SELECT e.*, a.f AS fa, b.f AS fb, x.f AS fx, a.c AS ca, b.c AS cb, x.c AS cx, a.s AS sa, b.s AS sb, x.s AS sx
+      FROM e JOIN m ON true JOIN f a ON a.r = e.r AND a.kind = 0 JOIN f b ON b.r = e.r AND b.kind = 1 JOIN f x ON x.r = e.r % m + 1 AND x.kind = 0)
+    SELECT doc_id, n AS n_chars, sha256(encode(changed)) AS edited_sha256, fa AS fingerprint, fb AS edited_fingerprint,
+      CASE WHEN fa = fb THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - list_sum(list_transform(list_zip(sa, sb), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / greatest(ca + cb, 1)) END AS near_edited,
+      CASE WHEN fa = fx THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - list_sum(list_transform(list_zip(sa, sx), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / greatest(ca + cx, 1)) END AS near_next
+    FROM j
+    """
+
+
+@query("op6_multiset_fingerprint", _multiset_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.multiset import fingerprint_report
+
+    return fingerprint_report(table(spark, sf_dir, "documents"))
