@@ -174,3 +174,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.multiset import fingerprint_report
 
     return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.simhash import near_duplicate_report
+
+    return near_duplicate_report(table(spark, sf_dir, "documents"))
