@@ -181,3 +181,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicate_report
 
     return near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_substring_dedup",
+    """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    v AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+    m AS (SELECT g, min(doc_id) AS low FROM v GROUP BY g),
+    c AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 13)) AS j FROM v JOIN m USING (g) WHERE low < doc_id)),
+    k AS (SELECT r, list(j) AS js FROM c GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
+      sha256(encode(coalesce(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(js, i)) END, ' '), ''))) AS kept_sha256
+    FROM d LEFT JOIN k USING (r)
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.substring import substring_report
+
+    return substring_report(table(spark, sf_dir, "documents"))
