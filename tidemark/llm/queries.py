@@ -200,3 +200,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.substring import substring_report
 
     return substring_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pack")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
