@@ -8,6 +8,7 @@ one bit there (3 times 43 or 44), variants are shuffled together, and fingerprin
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -171,6 +172,167 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return rows.join(joined.select("fp", "part").join(least, "part").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
+#: Near-duplicates by similarity: bands of BAND_BITS bits, each a SimHash of its own, met within BAND_RADIUS bits.
+BANDS, BAND_BITS, BAND_RADIUS = 7, 30, 2
+#: Size of the sketch by which candidates are verified: the smallest shingle hashes. Texts of no more shingles are compared
+#: exactly; the error for longer ones is about sqrt(s * (1 - s) / SKETCH), 0.025 at a similarity of 0.8.
+SKETCH = 256
+#: Bits of all bands in which candidates may differ before the sketch is looked at (0.8 differs in 20, give or take 4).
+FAR_BITS = 40
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+
+
+def _mixed(x: np.ndarray, k: int) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _MIX[k % 5] + np.uint64(k)
+    x = (x ^ (x >> np.uint64(29))) * _MIX[(k + 2) % 5]
+    return x ^ (x >> np.uint64(32))
+
+
+def _word_shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """Distinct hashes of shingles of word hashes; the whole sequence if shorter."""
+    n = max(1, len(h) - width + 1) if len(h) else 0
+    out = np.zeros(n, np.uint64)
+    for k in range(min(width, len(h))):
+        out = _mixed(out + h[k : k + n], k)
+    return np.unique(out)
+
+
+def describe(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of the SimHash over distinct word pairs, and the sketch of distinct shingles of ``width`` words."""
+    w = text.lower().split()
+    h = np.fromiter(map(zlib.crc32, w), np.uint64, len(w))
+    pairs = _word_shingles(h, 2)
+    words = [simhash(_mixed(pairs, 7 + k)) for k in range(-(-BANDS * BAND_BITS // 60))]
+    bands = [words[b * BAND_BITS // 60] >> (b * BAND_BITS % 60) & (1 << BAND_BITS) - 1 for b in range(BANDS)]
+    return np.array(bands, np.uint64), _word_shingles(h, width)[:SKETCH] >> np.uint64(32)
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sketches; exact when neither is full."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.union1d(a, b)
+    if max(len(a), len(b)) >= SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).sum() / len(both))
+
+
+def _similar_links(cids: list[int], bands: np.ndarray, sketches: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    left, out = np.arange(len(cids)), []
+    while len(left):
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            close = np.bitwise_count(bands[left] ^ bands[x]).sum(1) <= FAR_BITS
+            near = np.array([bool(c) and sketch_similarity(sketches[x], sketches[y]) >= similarity for c, y in zip(close, left.tolist())])
+            out += [(cids[x], cids[y]) for y in left[near].tolist()]
+            front += left[near].tolist()
+            left = left[~near]
+    return out
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id, h, group``: near-duplicate groups of rows by word shingles: copies, and texts linked by chains of pairs with a
+    Jaccard similarity of ``similarity`` or more; ``group`` is the smallest id. ``h`` is the text's hash.
+
+    Candidates come from ball hashing of several short SimHashes over word pairs (a pair of texts at 0.8 is within
+    BAND_RADIUS in one of the bands with a chance of about 0.99); all members of a bucket are compared, each set of members
+    once. Nulls: a null text is empty, texts without words are copies of each other; a null id is larger than all others.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    bits = np.array([0] + [1 << b for b in range(BAND_BITS)], np.uint64)
+
+    def first(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bands, sketches = [], []
+        for t in utf8_views(batch.column(2)):
+            b, s = describe(t, width)
+            bands.append(b.astype("<u4").tobytes())
+            sketches.append(s.astype("<u4").tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.binary()), pa.array(sketches, pa.binary())], ["id", "h", "bands", "sketch"])
+
+    keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
+    rows = materialize(map_arrow(keyed, first, f"id {kind}, h long, bands binary, sketch binary"), "near-rows")
+    # A class is a set of equal descriptions: copies, and texts that differ in case or white space alone.
+    rows = rows.withColumn("cid", F.xxhash64("bands", "sketch"))
+    classes = materialize(rows.groupBy("cid").agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
+
+    def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cids = batch.column(0).to_numpy()
+        bands = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS).astype(np.uint64)
+        for at in range(0, len(cids), 4096):
+            part = bands[at : at + 4096]
+            keys = (part[:, :, None] ^ bits[None, None, :]) | (np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND_BITS))[None, :, None]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(cids[at : at + 4096], BANDS * len(bits)))], ["key", "cid"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of buckets that hold several, under a hash of the set, so that equal sets meet."""
+        held_k, held_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def several(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            cut = np.flatnonzero(np.diff(k)) + 1
+            starts = np.concatenate([[0], cut])
+            sizes = np.diff(np.append(starts, len(k)))
+            mixed = _mixed(c.view(np.uint64), 3)
+            sums = np.add.reduceat(mixed, starts) if len(k) else mixed
+            keep = np.repeat(sizes > 1, sizes)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(sums, sizes)[keep].view(np.int64)), pa.array(c[keep])], ["set", "cid"])
+
+        for batch in batches:
+            held_k, held_c = np.concatenate([held_k, batch.column(0).to_numpy()]), np.concatenate([held_c, batch.column(1).to_numpy()])
+            whole = int(np.searchsorted(held_k, held_k[-1])) if len(held_k) else 0
+            if whole:
+                yield several(held_k[:whole], held_c[:whole])
+                held_k, held_c = held_k[whole:], held_c[whole:]
+        if len(held_k):
+            yield several(held_k, held_c)
+
+    met = map_arrow(classes.select("cid", "bands"), emit, "key long, cid long").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(gather, "set long, cid long").distinct()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cids, bands, sketches, done = None, [], [], [], []
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], ["a", "b"])
+            done.clear()
+            return out
+
+        def solve():
+            done.extend(_similar_links(cids, np.frombuffer(b"".join(bands), "<u4").reshape(-1, BANDS), sketches, similarity))
+
+        for batch in batches:
+            for k, c, b, s in zip(*(batch.column(n).to_pylist() for n in ("set", "cid", "bands", "sketch"))):
+                if k != now and cids:
+                    solve()
+                    cids, bands, sketches = [], [], []
+                    if len(done) >= 20_000:
+                        yield flush()
+                now = k
+                cids.append(c)
+                bands.append(b)
+                sketches.append(np.frombuffer(s, "<u4"))
+        if cids:
+            solve()
+        if done:
+            yield flush()
+
+    full = met.join(classes.select("cid", "bands", "sketch"), "cid").select("set", "cid", "bands", "sketch")
+    found = materialize(full.repartition("set").sortWithinPartitions("set", "cid").mapInArrow(verify, "a long, b long").distinct(), "near-links")
+    parts = connected_components(found)
+    joined = classes.select("cid", "low").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+    least = joined.groupBy("part").agg(F.min("low").alias("group"))
+    return rows.select("id", "h", "cid").join(joined.select("cid", "part").join(least, "part").select("cid", "group"), "cid").select("id", "h", "group")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id; columns stay as they are. Of rows that repeat that
+    id and its text one stays. A group of null ids alone keeps one row of each text."""
+    groups = similar_groups(docs, id_col, text_col, width, similarity).distinct()
+    go = groups.filter(~F.col("id").eqNullSafe(F.col("group"))).select(F.col("id").alias("__i"), F.col("h").alias("__h"))
+    keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = keyed.join(go, (F.col(id_col).eqNullSafe(F.col("__i"))) & (F.col("__k") == F.col("__h")), "left_anti")
+    return kept.dropDuplicates([id_col, "__k"]).select(*docs.columns)
+
+
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint in hex and the smallest document it is linked with."""
     return cluster(docs).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, F.lit("0")).alias("fingerprint"), "component_id")
