@@ -1,32 +1,10 @@
-"""Registered queries of the time-series operators and their DuckDB SQL."""
+"""All registered queries of the time-series operators and their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import event_queries, grid_queries, model_queries, relational_queries
+from tidemark.plans.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+FLAGSHIP = "regrid_linear_10min"
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "a12_value_counts"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql:
-            ORACLE_SQL[name] = sql
-        return fn
-
-    return add
-
-
-@query("a12_value_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "event_queries", "grid_queries", "model_queries", "relational_queries"]
