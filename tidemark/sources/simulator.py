@@ -29,7 +29,7 @@ def path_matches(path: Column, pattern: str) -> Column:
 
 
 def from_minutes(m: Column) -> Column:
-    return from_micros(m * F.lit(MINUTE) + F.lit(MINUTE_ZERO))
+    return from_micros(m.cast("long") * F.lit(MINUTE) + F.lit(MINUTE_ZERO))
 
 
 def to_minutes(ts: Column) -> Column:
