@@ -200,14 +200,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for p in parts[1:]:
         allp = allp.unionByName(p)
     merged = allp.groupBy("id").agg(
-        F.max("n_words").alias("n_words"), F.count_if(F.col("pass") == 0).alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count_if(F.col("pass") == 0).cast("int").alias("copies")
     )
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["from"] <= F.element_at(acc, -1)["to"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["from"].alias("from"), F.greatest(F.element_at(acc, -1)["to"], x["to"]).alias("to")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    empty = F.expr("cast(array() as array<struct<`from`:int,`to`:int>>)")
-    return merged.select(F.col("id.id").alias("id"), "n_words", F.aggregate("r", empty, step).alias("ranges"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("c")).drop("c")
+
+    def merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        joined = []
+        for ranges in batch.column(2).to_pylist():
+            out: list[dict] = []
+            for r in sorted(ranges, key=lambda r: (r["from"], r["to"])):
+                if out and r["from"] <= out[-1]["to"]:
+                    out[-1] = {"from": out[-1]["from"], "to": max(out[-1]["to"], r["to"])}
+                else:
+                    out.append(r)
+            joined.append(out)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joined, arrow_ranges), batch.column(3)], ["id", "n_words", "ranges", "items"])
+
+    each = merged.select(F.col("id.id").alias("id"), "n_words", "ranges", "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    return map_arrow(each, merge, schema)
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
