@@ -24,7 +24,7 @@ UNKNOWN = "und"
 #: ASCII letters and bytes beyond ASCII stay, all else separates words.
 _LETTERS = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-CHUNK_CHARS = 4 << 20
+CHUNK_CHARS = 1 << 20
 
 
 def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

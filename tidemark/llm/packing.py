@@ -28,10 +28,10 @@ CAPACITY, QUANTUM, END_ID = 4096, 8, 2
 SALTS = 64
 #: Simplex steps at most; every basis on the way is a valid set of patterns.
 MAX_STEPS = 6000
-#: Entries that a worker keeps of each cache.
-CACHE = 500_000
+#: Words, and word pieces, that a worker keeps: as many again stay from before, so that frequent ones are never lost.
+WORDS, PIECES = 120_000, 100_000
 #: Letters whose normal form and lower case are plain, then marks: such words need no normaliser.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|\"#$%&()*+\-/=@\[\]^_`{}~]*)")
 
 
 class WordEncoder:
@@ -48,24 +48,34 @@ class WordEncoder:
         self.char = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     def _piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
-            _bound(self.pieces)
-            got = self.pieces[p] = np.array([t.id for t in self.model.tokenize("".join(self.char[b] for b in p.encode()))], "<u4").tobytes()
+            got = self.old_pieces.get(p)
+            if got is None:
+                mapped = p if p.isascii() else "".join([self.char[b] for b in p.encode()])
+                got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+            if len(self.pieces) >= PIECES:
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[p] = got
         return got
 
     def _word(self, w: str) -> bytes:
         got = self.words.get(w)
         if got is None:
-            m = _PLAIN.fullmatch(w)
-            if m:
-                got = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
-            else:
-                got = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            got = self.old_words.get(w)
+            if got is None:
+                m = _PLAIN.fullmatch(w)
+                if m:
+                    got = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
+                else:
+                    got = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
             if len(w) <= 64:
-                _bound(self.words)
+                if len(self.words) >= WORDS:
+                    self.old_words, self.words = self.words, {}
                 self.words[w] = got
         return got
 
@@ -78,12 +88,6 @@ class WordEncoder:
             return b"".join(map(self._word, words))
 
 
-def _bound(cache: dict) -> None:
-    if len(cache) >= CACHE:
-        for k in [*cache][: CACHE // 2]:
-            del cache[k]
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)

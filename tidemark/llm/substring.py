@@ -27,7 +27,7 @@ from tidemark.llm._common import partitions, utf8_views
 WINDOW, MINIMISER = 13, 2
 #: Bytes of text that are cut at once, of packed strings that a task holds before it sends blocks, of a bucket that are
 #: unpacked at once (a larger bucket is worked through in slices of minimisers).
-CHUNK_BYTES, HOLD_BYTES, SLICE_BYTES = 2 << 20, 48 << 20, 96 << 20
+CHUNK_BYTES, HOLD_BYTES, SLICE_BYTES = 1 << 20, 32 << 20, 96 << 20
 #: Windows of one super-k-mer at most; a longer run is continued in the next.
 MAX_WINDOWS = 200
 #: A null document id: after all others.
