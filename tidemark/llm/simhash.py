@@ -163,7 +163,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     columns are not looked at. Copies meet by their fingerprint, so that a group of them counts once from there on.
     """
     rows = materialize(fingerprint_rows(docs, id_col, text_col, width), "simhash")
-    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
+    # One row stands for a class: that of its smallest id. Its sketch stays in the table of rows until it is asked for.
+    classes = materialize(rows.groupBy("cid").agg(F.min("id").alias("low"), F.min_by("h", F.struct(F.col("id").isNull(), "id", "h")).alias("low_h"), F.first("bands").alias("bands")), "near-classes")
     found = materialize(links(classes, radius, blocks), "simhash-links")
     parts = connected_components(found)
     # Components of one fingerprint need no label; the others take the smallest id of their fingerprints.
@@ -251,9 +252,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.binary()), pa.array(sketches, pa.binary())], ["id", "h", "bands", "sketch"])
 
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    rows = materialize(map_arrow(keyed, first, f"id {kind}, h long, bands binary, sketch binary"), "near-rows")
-    # A class is a set of equal descriptions: copies, and texts that differ in case or white space alone.
-    rows = rows.withColumn("cid", F.xxhash64("bands", "sketch"))
+    # A class (cid) is a set of equal descriptions: copies, and texts that differ in case or white space alone.
+    rows = materialize(map_arrow(keyed, first, f"id {kind}, h long, bands binary, sketch binary").withColumn("cid", F.xxhash64("bands", "sketch")), "near-rows")
     classes = materialize(rows.groupBy("cid").agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -307,6 +307,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     if len(done) >= 20_000:
                         yield flush()
                 now = k
+                if cids and cids[-1] == c:  # a row that repeats the class's first
+                    continue
                 cids.append(c)
                 bands.append(b)
                 sketches.append(np.frombuffer(s, "<u4"))
@@ -315,7 +317,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if done:
             yield flush()
 
-    full = met.join(classes.select("cid", "bands", "sketch"), "cid").select("set", "cid", "bands", "sketch")
+    firsts = classes.select("cid", F.col("low").alias("__l"), F.col("low_h").alias("__lh"))
+    known = rows.join(firsts, "cid").filter(F.col("id").eqNullSafe(F.col("__l")) & (F.col("h") == F.col("__lh"))).select("cid", "bands", "sketch")
+    full = met.join(known, "cid").select("set", "cid", "bands", "sketch")
     found = materialize(full.repartition("set").sortWithinPartitions("set", "cid").mapInArrow(verify, "a long, b long").distinct(), "near-links")
     parts = connected_components(found)
     joined = classes.select("cid", "low").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
@@ -326,11 +330,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id; columns stay as they are. Of rows that repeat that
     id and its text one stays. A group of null ids alone keeps one row of each text."""
-    groups = similar_groups(docs, id_col, text_col, width, similarity).distinct()
-    go = groups.filter(~F.col("id").eqNullSafe(F.col("group"))).select(F.col("id").alias("__i"), F.col("h").alias("__h"))
-    keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    kept = keyed.join(go, (F.col(id_col).eqNullSafe(F.col("__i"))) & (F.col("__k") == F.col("__h")), "left_anti")
-    return kept.dropDuplicates([id_col, "__k"]).select(*docs.columns)
+    groups = similar_groups(docs, id_col, text_col, width, similarity)
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
+    go = groups.filter(~F.col("id").eqNullSafe(F.col("group"))).select(name("id").alias("__i"), F.col("h").alias("__h")).distinct()
+    keyed = docs.withColumn("__i", name(id_col)).withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    # The repeats of a row go by the keys of the join, so texts move once.
+    return keyed.join(go, ["__i", "__h"], "left_anti").dropDuplicates(["__i", "__h"]).select(*docs.columns)
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
