@@ -163,8 +163,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     columns are not looked at. Copies meet by their fingerprint, so that a group of them counts once from there on.
     """
     rows = materialize(fingerprint_rows(docs, id_col, text_col, width), "simhash")
-    # One row stands for a class: that of its smallest id. Its sketch stays in the table of rows until it is asked for.
-    classes = materialize(rows.groupBy("cid").agg(F.min("id").alias("low"), F.min_by("h", F.struct(F.col("id").isNull(), "id", "h")).alias("low_h"), F.first("bands").alias("bands")), "near-classes")
+    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
     found = materialize(links(classes, radius, blocks), "simhash-links")
     parts = connected_components(found)
     # Components of one fingerprint need no label; the others take the smallest id of their fingerprints.
@@ -174,12 +173,12 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 
 #: Near-duplicates by similarity: bands of BAND_BITS bits, each a SimHash of its own, met within BAND_RADIUS bits.
-BANDS, BAND_BITS, BAND_RADIUS = 7, 30, 2
+BANDS, BAND_BITS, BAND_RADIUS = 5, 30, 2
 #: Size of the sketch by which candidates are verified: the smallest shingle hashes. Texts of no more shingles are compared
 #: exactly; the error for longer ones is about sqrt(s * (1 - s) / SKETCH), 0.025 at a similarity of 0.8.
 SKETCH = 256
-#: Bits of all bands in which candidates may differ before the sketch is looked at (0.8 differs in 20, give or take 4).
-FAR_BITS = 40
+#: Bits of all bands in which candidates may differ before the sketch is looked at (0.8 differs in 10, give or take 3).
+FAR_BITS = 25
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -198,12 +197,27 @@ def _word_shingles(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def weighted_simhash(hashes: np.ndarray, weights: np.ndarray) -> int:
+    """Bit k is 1 if hashes of over half of the weight have it."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(64)
+    for at in range(0, len(hashes), 65536):
+        ones += weights[at : at + 65536] @ np.unpackbits(hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * ones > weights.sum()).tobytes(), "big")
+
+
 def describe(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bands of the SimHash over distinct word pairs, and the sketch of distinct shingles of ``width`` words."""
+    """Bands of the SimHash over distinct words, and the sketch of distinct shingles of ``width`` words.
+
+    Words weigh by their length: short ones are common to most texts of a language and say little. An edit touches one
+    word but ``width`` shingles, so texts of a given similarity are closer by words.
+    """
     w = text.lower().split()
     h = np.fromiter(map(zlib.crc32, w), np.uint64, len(w))
-    pairs = _word_shingles(h, 2)
-    words = [simhash(_mixed(pairs, 7 + k)) for k in range(-(-BANDS * BAND_BITS // 60))]
+    own, at = np.unique(h, return_index=True)
+    weights = np.clip((np.fromiter((len(w[k]) for k in at.tolist()), np.float64, len(at)) - 2) / 6, 0.05, 1)
+    words = [weighted_simhash(_mixed(own, 7 + k), weights) for k in range(-(-BANDS * BAND_BITS // 60))]
     bands = [words[b * BAND_BITS // 60] >> (b * BAND_BITS % 60) & (1 << BAND_BITS) - 1 for b in range(BANDS)]
     return np.array(bands, np.uint64), _word_shingles(h, width)[:SKETCH] >> np.uint64(32)
 
@@ -236,8 +250,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``id, h, group``: near-duplicate groups of rows by word shingles: copies, and texts linked by chains of pairs with a
     Jaccard similarity of ``similarity`` or more; ``group`` is the smallest id. ``h`` is the text's hash.
 
-    Candidates come from ball hashing of several short SimHashes over word pairs (a pair of texts at 0.8 is within
-    BAND_RADIUS in one of the bands with a chance of about 0.99); all members of a bucket are compared, each set of members
+    Candidates come from ball hashing of several short SimHashes over words (a pair of texts at 0.8 is within BAND_RADIUS
+    in one of the bands with a chance of about 0.998); all members of a bucket are compared, each set of members
     once. Nulls: a null text is empty, texts without words are copies of each other; a null id is larger than all others.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -254,7 +268,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     # A class (cid) is a set of equal descriptions: copies, and texts that differ in case or white space alone.
     rows = materialize(map_arrow(keyed, first, f"id {kind}, h long, bands binary, sketch binary").withColumn("cid", F.xxhash64("bands", "sketch")), "near-rows")
-    classes = materialize(rows.groupBy("cid").agg(F.min("id").alias("low"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "near-classes")
+    # One row stands for a class: that of its smallest id. Its sketch stays in the table of rows until it is asked for.
+    classes = materialize(rows.groupBy("cid").agg(F.min("id").alias("low"), F.min_by("h", F.struct(F.col("id").isNull(), "id", "h")).alias("low_h"), F.first("bands").alias("bands")), "near-classes")
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cids = batch.column(0).to_numpy()
@@ -262,31 +277,51 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for at in range(0, len(cids), 4096):
             part = bands[at : at + 4096]
             keys = (part[:, :, None] ^ bits[None, None, :]) | (np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND_BITS))[None, :, None]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(cids[at : at + 4096], BANDS * len(bits)))], ["key", "cid"])
+            flips = np.tile(np.arange(len(bits), dtype=np.int8), BANDS * len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(flips), pa.array(np.repeat(cids[at : at + 4096], BANDS * len(bits)))], ["key", "flip", "cid"])
+
+    def here(key: int, flips: list[int]) -> list[bool]:
+        """Which members have a pair that is this bucket's to compare. Two values meet in several buckets: equal ones in
+        all, neighbours in both their own, values two bits apart in both between them. Equal values are compared in their
+        own bucket, others in the smaller of theirs: where the highest bit that they differ in is 0."""
+        there = sorted({f for f in flips if f})
+        zero = {f for f in there if not key >> (f - 1) & 1}
+        top = max(zero, default=0)
+        own = flips.count(0)
+        yes = {f for f in there if (f in zero and (own or f != there[0])) or f < top}
+        return [(own > 1 or bool(zero)) if f == 0 else f in yes for f in flips]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members of buckets that hold several, under a hash of the set, so that equal sets meet."""
-        held_k, held_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Members of buckets that have pairs to compare, under a hash of the set, so that equal sets meet."""
+        held = [np.zeros(0, t) for t in (np.int64, np.int8, np.int64)]
 
-        def several(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.diff(k)) + 1
-            starts = np.concatenate([[0], cut])
+        def several(k: np.ndarray, f: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1])
             sizes = np.diff(np.append(starts, len(k)))
-            mixed = _mixed(c.view(np.uint64), 3)
-            sums = np.add.reduceat(mixed, starts) if len(k) else mixed
-            keep = np.repeat(sizes > 1, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(sums, sizes)[keep].view(np.int64)), pa.array(c[keep])], ["set", "cid"])
+            some = np.repeat(sizes > 1, sizes)
+            k, f, c = k[some], f[some], c[some]
+            keep: list[bool] = []
+            ends = np.cumsum(sizes[sizes > 1]).tolist()
+            keys, flips, a = k.tolist(), f.tolist(), 0
+            for b in ends:
+                keep += here(keys[a], flips[a:b])
+                a = b
+            mine = np.array(keep, bool)
+            k, c = k[mine], c[mine]
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1]) if len(k) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(_mixed(c.view(np.uint64), 3), starts) if len(k) else np.zeros(0, np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(sums, np.diff(np.append(starts, len(k)))).view(np.int64)), pa.array(c)], ["set", "cid"])
 
         for batch in batches:
-            held_k, held_c = np.concatenate([held_k, batch.column(0).to_numpy()]), np.concatenate([held_c, batch.column(1).to_numpy()])
-            whole = int(np.searchsorted(held_k, held_k[-1])) if len(held_k) else 0
+            held = [np.concatenate([h, batch.column(j).to_numpy()]) for j, h in enumerate(held)]
+            whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if whole:
-                yield several(held_k[:whole], held_c[:whole])
-                held_k, held_c = held_k[whole:], held_c[whole:]
-        if len(held_k):
-            yield several(held_k, held_c)
+                yield several(*[h[:whole] for h in held])
+                held = [h[whole:] for h in held]
+        if len(held[0]):
+            yield several(*held)
 
-    met = map_arrow(classes.select("cid", "bands"), emit, "key long, cid long").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(gather, "set long, cid long").distinct()
+    met = map_arrow(classes.select("cid", "bands"), emit, "key long, flip tinyint, cid long").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(gather, "set long, cid long").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cids, bands, sketches, done = None, [], [], [], []
