@@ -91,3 +91,17 @@ def test_links_connect_all_pairs_within_the_radius(spark):
     assert len(ball_masks(3, 3)) == 3 and sum(len(m[1]) for m in ball_masks(3, 3)) == 131
     assert spanning_links(np.array([1, 2, 4], np.uint64), 1) == []
     assert simhash(shingle_hashes(b"", 3)) == 0
+
+
+def test_sketches_equal_pairwise_similarities():
+    from tidemark.llm.simhash import SKETCH, Sketches, sketch_similarity
+
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 32, 2000))
+    sets = [np.unique(np.concatenate([rng.choice(base, n, replace=False), rng.integers(0, 1 << 32, 20)]))[:SKETCH].astype("<u4") for n in (5, 100, 230, 300, 900, 1900, 1950)] + [np.zeros(0, "<u4"), np.zeros(0, "<u4")]
+    index = Sketches(sets)
+    for i in range(len(sets)):
+        assert np.allclose(index.similarities(i), [sketch_similarity(sets[i], x) for x in sets])
+    small = [set(x.tolist()) for x in sets[:3]]
+    assert sketch_similarity(sets[0], sets[1]) == len(small[0] & small[1]) / len(small[0] | small[1])
+    assert sketch_similarity(sets[-1], sets[-2]) == 1 and sketch_similarity(sets[0], sets[-1]) == 0

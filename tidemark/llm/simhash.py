@@ -177,8 +177,6 @@ BANDS, BAND_BITS, BAND_RADIUS = 5, 30, 2
 #: Size of the sketch by which candidates are verified: the smallest shingle hashes. Texts of no more shingles are compared
 #: exactly; the error for longer ones is about sqrt(s * (1 - s) / SKETCH), 0.025 at a similarity of 0.8.
 SKETCH = 256
-#: Bits of all bands in which candidates may differ before the sketch is looked at (0.8 differs in 10, give or take 3).
-FAR_BITS = 25
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -222,24 +220,58 @@ def describe(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(bands, np.uint64), _word_shingles(h, width)[:SKETCH] >> np.uint64(32)
 
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sketches; exact when neither is full."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.union1d(a, b)
-    if max(len(a), len(b)) >= SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(np.intersect1d(a, b, assume_unique=True), both, assume_unique=True).sum() / len(both))
+class Sketches:
+    """Similarities of one sketch to all of a set, by an index from hashes to the sketches that hold them.
+
+    Two sketches are complete up to the smaller of their largest hashes (a sketch that is not full is complete); up to there
+    they are compared exactly.
+    """
 
+    def __init__(self, sketches: list[np.ndarray]):
+        self.sketches = sketches
+        self.sizes = np.array([len(x) for x in sketches])
+        self.values = np.concatenate(sketches).astype(np.int64)
+        self.rows = np.repeat(np.arange(len(sketches)), self.sizes)
+        self.top = np.array([int(x[-1]) if len(x) >= SKETCH else 1 << 40 for x in sketches])
+        ids = np.unique(self.values, return_inverse=True)[1]
+        order = np.argsort(ids, kind="stable")
+        self.holders = self.rows[order]
+        counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+        self.from_, self.counts = np.cumsum(counts) - counts, counts
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.ids = ids
+
+    def similarities(self, i: int) -> np.ndarray:
+        mine = self.ids[self.begin[i] : self.begin[i + 1]]
+        n = self.counts[mine]
+        at = np.repeat(self.from_[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.holders[at], minlength=len(self.sketches))
+        theirs = np.bincount(self.rows[self.values <= self.top[i]], minlength=len(self.sketches))
+        own = np.searchsorted(self.values[self.begin[i] : self.begin[i + 1]], self.top, "right")
+        total = np.where(self.top < self.top[i], self.sizes + own, theirs + self.sizes[i]) - both
+        return np.where(total > 0, both / np.maximum(total, 1), 1.0)
 
-def _similar_links(cids: list[int], bands: np.ndarray, sketches: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sketches; exact when neither is full."""
+    top = min(int(x[-1]) if len(x) >= SKETCH else 1 << 40 for x in (a, b))
+    a, b = a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - both
+    return both / total if total else 1.0
+
+
+def _similar_links(cids: list[int], sketches: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the members of a set exactly as all pairs of the given similarity would."""
+    if len(cids) == 2:
+        return [(cids[0], cids[1])] if sketch_similarity(*sketches) >= similarity else []
+    index = Sketches(sketches)
     left, out = np.arange(len(cids)), []
     while len(left):
-        front, left = [left[0]], left[1:]
+        front, left = [int(left[0])], left[1:]
         while front and len(left):
             x = front.pop()
-            close = np.bitwise_count(bands[left] ^ bands[x]).sum(1) <= FAR_BITS
-            near = np.array([bool(c) and sketch_similarity(sketches[x], sketches[y]) >= similarity for c, y in zip(close, left.tolist())])
+            near = index.similarities(x)[left] >= similarity
             out += [(cids[x], cids[y]) for y in left[near].tolist()]
             front += left[near].tolist()
             left = left[~near]
@@ -324,7 +356,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = map_arrow(classes.select("cid", "bands"), emit, "key long, flip tinyint, cid long").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(gather, "set long, cid long").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cids, bands, sketches, done = None, [], [], [], []
+        now, cids, sketches, done = None, [], [], []
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], ["a", "b"])
@@ -332,20 +364,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return out
 
         def solve():
-            done.extend(_similar_links(cids, np.frombuffer(b"".join(bands), "<u4").reshape(-1, BANDS), sketches, similarity))
+            if len(cids) > 1:
+                done.extend(_similar_links(cids, sketches, similarity))
 
         for batch in batches:
-            for k, c, b, s in zip(*(batch.column(n).to_pylist() for n in ("set", "cid", "bands", "sketch"))):
+            for k, c, s in zip(*(batch.column(n).to_pylist() for n in ("set", "cid", "sketch"))):
                 if k != now and cids:
                     solve()
-                    cids, bands, sketches = [], [], []
+                    cids, sketches = [], []
                     if len(done) >= 20_000:
                         yield flush()
                 now = k
                 if cids and cids[-1] == c:  # a row that repeats the class's first
                     continue
                 cids.append(c)
-                bands.append(b)
                 sketches.append(np.frombuffer(s, "<u4"))
         if cids:
             solve()
@@ -353,8 +385,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield flush()
 
     firsts = classes.select("cid", F.col("low").alias("__l"), F.col("low_h").alias("__lh"))
-    known = rows.join(firsts, "cid").filter(F.col("id").eqNullSafe(F.col("__l")) & (F.col("h") == F.col("__lh"))).select("cid", "bands", "sketch")
-    full = met.join(known, "cid").select("set", "cid", "bands", "sketch")
+    known = rows.join(firsts, "cid").filter(F.col("id").eqNullSafe(F.col("__l")) & (F.col("h") == F.col("__lh"))).select("cid", "sketch")
+    full = met.join(known, "cid").select("set", "cid", "sketch")
     found = materialize(full.repartition("set").sortWithinPartitions("set", "cid").mapInArrow(verify, "a long, b long").distinct(), "near-links")
     parts = connected_components(found)
     joined = classes.select("cid", "low").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
