@@ -266,7 +266,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     a, b = F.greatest("from", F.col("s") * capacity), F.least("to", (F.col("s") + 1) * capacity)
     cuts = cuts.select("id", "h", (F.col("start") + a - F.col("from")).alias("start"), (b - a).alias("length"), F.when(b - a == F.col("length"), F.col("ids_crc32")).alias("ids_crc32"), "doc_tokens", (F.col("s") + plan.sequences).alias("sequence_id"), (a - F.col("s") * capacity).alias("offset"))
     cuts = materialize(cuts, "packing-rest")
-    last = (cuts.agg(F.max("sequence_id")).first()[0] if cuts.head(1) else None) or plan.sequences - 1
+    last = cuts.agg(F.max("sequence_id")).first()[0]
+    last = plan.sequences - 1 if last is None else last
     fulls = placed.filter("sequence_id < -1").withColumn("sequence_id", F.lit(last - 1) - F.col("sequence_id")).withColumn("offset", F.lit(0).cast("long"))
     whole, parts = cuts.filter("ids_crc32 is not null"), cuts.filter("ids_crc32 is null").drop("ids_crc32")
 
