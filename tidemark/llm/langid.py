@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import held_out, map_arrow
@@ -129,11 +129,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     summed = map_arrow(sample, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
-    got = [summed.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(fit_grams) for lang in sorted(counts)]
-    all_grams = got[0]
-    for x in got[1:]:
-        all_grams = all_grams.unionByName(x)
-    table = all_grams.toPandas()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # of the sample's n-grams, a bounded number
+    table = summed.withColumn("rank", rank).filter(F.col("rank") <= fit_grams).drop("rank").toPandas()
     table["rate"] = table["n"] / table.groupby("lang")["n"].transform("sum")
     table["top"] = table.groupby("gram")["rate"].transform("max")
     kept = table[table["rate"] >= MIN_SHARE * table["top"]]
