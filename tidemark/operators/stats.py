@@ -83,13 +83,22 @@ def null_rate_change(before: DataFrame, after: DataFrame, cut: str) -> DataFrame
     return rate(before, "null_before").join(rate(after, "null_after"), "series_id", "full").withColumn("recovered", F.col("null_before") - F.col("null_after"))
 
 
-def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman correlation with average ranks on ties. Ranks come from value counts, so ties and skew stay small."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+def _average_ranks(both: DataFrame, c: str) -> DataFrame:
+    """``c, r<c>``: the average rank of each distinct value. Values are ranked inside range buckets, to which the numbers of
+    rows below them, one for each bucket, are added; so no task has to order everything."""
+    n = both.groupBy(c).agg(F.count("*").alias("n"))
+    k = 4 * int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    borders = sorted(set(n.agg(F.percentile_approx(c, [i / k for i in range(1, k)], 10 * k)).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*map(F.lit, borders)), lambda x: x < F.col(c))) if borders else F.lit(0)
+    n = n.withColumn("b", bucket)
+    sums = n.groupBy("b").agg(F.sum("n").alias("s"))
+    below = sums.select("b", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    inside = F.sum("n").over(Window.partitionBy("b").orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
+    ranked = n.withColumn("before", F.coalesce(inside, F.lit(0))).join(F.broadcast(below), "b")  # a row for each bucket
+    return ranked.select(c, (F.col("below") + F.col("before") + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
 
-    def ranks(c: str) -> DataFrame:
-        n = both.groupBy(c).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1))
-        return n.select(c, (F.coalesce(upto, F.lit(0)) + (F.col("n") + 1) / 2.0).alias(f"r{c}"))
 
-    return both.join(ranks("x"), "x").join(ranks("y"), "y").agg(safe_corr("rx", "ry").alias("rho"))
+def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Spearman correlation with average ranks on ties."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
+    return both.join(_average_ranks(both, "x"), "x").join(_average_ranks(both, "y"), "y").agg(safe_corr("rx", "ry").alias("rho"))
