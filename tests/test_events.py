@@ -133,6 +133,8 @@ def test_features_against_pandas(spark):
     w = df.dropna(subset=["tgt"]).reset_index(drop=True)
     assert len(t) == len(w)
     assert np.allclose(t.a_lag_1h, w.lag, equal_nan=True) and np.allclose(t.b_cum_3h, w["cum"], equal_nan=True) and np.allclose(t.target_24h, w.tgt) and np.allclose(t.d, w.a - w.b, equal_nan=True)
+    small = features.training_table(s, "a", ["a"], ["b"], {"d": ("a", ("b",))}, splits=("2020-01-01 10:00:00", "2020-01-01 20:00:00"), bucket=7 * 3_600_000_000).toPandas().sort_values("ts").reset_index(drop=True)
+    pd.testing.assert_frame_equal(small[t.columns], t)
     edge = t[t.ts == pd.Timestamp("2020-01-01 10:00:00")].split.iloc[0], t[t.ts == pd.Timestamp("2020-01-01 10:10:00")].split.iloc[0]
     assert edge == ("train", "validation")
     assert "split" not in features.predictor_columns(spark.createDataFrame(t.head(1))) and not any(c.startswith("target") for c in features.predictor_columns(spark.createDataFrame(t.head(1))))
