@@ -29,7 +29,7 @@ SALTS = 64
 #: Simplex steps at most; every basis on the way is a valid set of patterns.
 MAX_STEPS = 6000
 #: Words, and word pieces, that a worker keeps: as many again stay from before, so that frequent ones are never lost.
-WORDS, PIECES = 120_000, 100_000
+WORDS, PIECES = 250_000, 150_000
 #: Letters whose normal form and lower case are plain, then marks: such words need no normaliser.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|\"#$%&()*+\-/=@\[\]^_`{}~]*)")
 
@@ -81,6 +81,12 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
+        if "<|" not in text:  # a special string is only one in lower case
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # as the normaliser does, so that fewer words differ
+            except UnicodeEncodeError:
+                pass
         words = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.words.__getitem__, words))
