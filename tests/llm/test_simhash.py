@@ -105,3 +105,35 @@ def test_sketches_equal_pairwise_similarities():
     small = [set(x.tolist()) for x in sets[:3]]
     assert sketch_similarity(sets[0], sets[1]) == len(small[0] & small[1]) / len(small[0] | small[1])
     assert sketch_similarity(sets[-1], sets[-2]) == 1 and sketch_similarity(sets[0], sets[-1]) == 0
+
+
+def block_edits(rng, vocab, kind, want):
+    """Word lists of a text and of a copy with one appended, cut or replaced block, whose shingles have about ``want``."""
+    n = int(rng.integers(100, 900))
+    a = [vocab[k] for k in rng.zipf(1.3, n) % len(vocab)]
+    new = lambda m: [vocab[k] for k in rng.integers(0, len(vocab), m)]
+    if kind == "appended":
+        return a, a + new(int(n * (1 / want - 1)))
+    if kind == "cut":
+        return a, a[: int(n * want) + 1]
+    m = int(n * (1 - want) / (1 + want))
+    at = int(rng.integers(0, n - m + 1))
+    return a, a[:at] + new(m) + a[at + m :]
+
+
+def test_pairs_with_block_edits_meet():
+    from tidemark.llm.simhash import describe
+
+    rng = np.random.default_rng(7)
+    vocab = [f"{'abcdefgh'[k % 8] * (1 + k % 9)}{k}" for k in range(4000)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    for kind in ("appended", "cut", "replaced"):
+        for want in (0.81, 0.85, 0.9):
+            met = made = 0
+            while made < 60:
+                a, b = block_edits(rng, vocab, kind, want)
+                x, y = sets(a), sets(b)
+                if 0.8 <= len(x & y) / len(x | y) <= 0.92:
+                    made += 1
+                    met += bool((describe(" ".join(a).encode(), 5)[0] == describe(" ".join(b).encode(), 5)[0]).any())
+            assert met == made, (kind, want, met)
