@@ -137,3 +137,24 @@ def test_pairs_with_block_edits_meet():
                     made += 1
                     met += bool((describe(" ".join(a).encode(), 5)[0] == describe(" ".join(b).encode(), 5)[0]).any())
             assert met == made, (kind, want, met)
+
+
+def test_long_texts_are_decided_on_all_their_shingles(spark):
+    from tidemark.llm.simhash import similar_groups
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for g in range(60):
+        # Shingles in common: n - 4. The block after them makes the similarity just 0.8 or just below.
+        n = rng.randrange(400, 1200) * 4 + 4
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        more = (n - 4) // 4 + g % 2 * 8
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base + [f"v{rng.randrange(10**6)}" for _ in range(more)]))]
+        want[2 * g], want[2 * g + 1] = 2 * g, 2 * g + g % 2
+    # Texts of one core of 1600 shingles: two odd ones are at 1600 / 1980, others at 1600 / 2005 and 1600 / 2030.
+    core = [f"c{k}" for k in range(1604)]
+    for k in range(30):
+        rows.append((1000 + k, " ".join(core + [f"x{k}y{j}" for j in range(190 if k % 2 else 215)])))
+        want[1000 + k] = 1001 if k % 2 else 1000 + k
+    got = {r.id: r.group for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

@@ -8,7 +8,6 @@ one bit there (3 times 43 or 44), variants are shuffled together, and fingerprin
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -173,11 +172,14 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 
 #: Near-duplicates by similarity: BANDS keys of BAND_ROWS minima each. Texts of similarity J share a key with a chance of
-#: 1 - (1 - J ** BAND_ROWS) ** BANDS, however the edits lie: all but 1.3e-7 of pairs at 0.8, 2e-9 at 0.83.
-BANDS, BAND_ROWS = 40, 5
-#: Size of the sketch by which candidates are verified: the smallest shingle hashes. Texts of no more shingles are compared
-#: exactly; the error for longer ones is about sqrt(s * (1 - s) / SKETCH), 0.025 at a similarity of 0.8.
-SKETCH = 256
+#: 1 - (1 - J ** BAND_ROWS) ** BANDS, however the edits lie: all but 4e-7 of pairs at 0.8, 3e-8 at 0.83.
+BANDS, BAND_ROWS = 28, 4
+#: Size of the sketch by which candidates are sifted: the smallest shingle hashes. Texts of fewer shingles are compared
+#: exactly; the error for others is about sqrt(s * (1 - s) / SKETCH), 0.025 at a similarity of 0.8. Pairs within SLACK of the
+#: threshold, six times that, are decided on all of their shingles.
+SKETCH, SLACK = 256, 0.15
+#: Classes in doubt, of 16 bytes each, up to which they are broadcast.
+FEW = 200_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -214,26 +216,30 @@ def min_bands(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Ascending hashes of the distinct shingles of ``width`` words."""
+    return np.unique(_word_shingles(np.fromiter(map(xxhash.xxh64_intdigest, text.lower().split()), np.uint64), width) >> np.uint64(32))
+
+
 def describe(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and the sketch of the distinct shingles of ``width`` words."""
-    h = np.fromiter(map(zlib.crc32, text.lower().split()), np.uint64)
-    shingles = _word_shingles(h, width)
-    return min_bands(shingles), shingles[:SKETCH] >> np.uint64(32)
+    """Band keys and the ascending hashes of all distinct shingles of ``width`` words; the first SKETCH are the sketch."""
+    shingles = shingle_set(text, width)
+    return min_bands(shingles), shingles
 
 
 class Sketches:
     """Similarities of one sketch to all of a set, by an index from hashes to the sketches that hold them.
 
     Two sketches are complete up to the smaller of their largest hashes (a sketch that is not full is complete); up to there
-    they are compared exactly.
+    they are compared exactly. ``size`` is that of a full sketch; without one all are complete.
     """
 
-    def __init__(self, sketches: list[np.ndarray]):
+    def __init__(self, sketches: list[np.ndarray], size: float = SKETCH):
         self.sketches = sketches
         self.sizes = np.array([len(x) for x in sketches])
         self.values = np.concatenate(sketches).astype(np.int64)
         self.rows = np.repeat(np.arange(len(sketches)), self.sizes)
-        self.top = np.array([int(x[-1]) if len(x) >= SKETCH else 1 << 40 for x in sketches])
+        self.top = np.array([int(x[-1]) if len(x) >= size else 1 << 40 for x in sketches])
         ids = np.unique(self.values, return_inverse=True)[1]
         order = np.argsort(ids, kind="stable")
         self.holders = self.rows[order]
@@ -253,20 +259,20 @@ class Sketches:
         return np.where(total > 0, both / np.maximum(total, 1), 1.0)
 
 
-def sketch_similarity(a: np.ndarray, b: np.ndarray) -> float:
+def sketch_similarity(a: np.ndarray, b: np.ndarray, size: float = SKETCH) -> float:
     """Jaccard similarity of two sketches; exact when neither is full."""
-    top = min(int(x[-1]) if len(x) >= SKETCH else 1 << 40 for x in (a, b))
+    top = min(int(x[-1]) if len(x) >= size else 1 << 40 for x in (a, b))
     a, b = a[: np.searchsorted(a, top, "right")], b[: np.searchsorted(b, top, "right")]
     both = len(np.intersect1d(a, b, assume_unique=True))
     total = len(a) + len(b) - both
     return both / total if total else 1.0
 
 
-def _similar_links(cids: list[int], sketches: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that join the members of a set exactly as all pairs of the given similarity would."""
+def _similar_links(cids: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the members of a set exactly as all pairs of the given similarity would, from all of their shingles."""
     if len(cids) == 2:
-        return [(cids[0], cids[1])] if sketch_similarity(*sketches) >= similarity else []
-    index = Sketches(sketches)
+        return [(cids[0], cids[1])] if sketch_similarity(*sets, size=np.inf) >= similarity else []
+    index = Sketches(sets, np.inf)
     left, out = np.arange(len(cids)), []
     while len(left):
         front, left = [int(left[0])], left[1:]
@@ -279,32 +285,63 @@ def _similar_links(cids: list[int], sketches: list[np.ndarray], similarity: floa
     return out
 
 
+def _sift(cids: list[int], sketches: list[np.ndarray], similarity: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]], bool]:
+    """(links, doubtful pairs, whole): links that the sketches are sure of, and pairs that they cannot decide and that no such
+    links join. With over four of them a member it stops: all shingles of the ``whole`` set are to be compared."""
+    full = np.array([len(x) >= SKETCH for x in sketches])
+    index = Sketches(sketches)
+    part, left, out, doubts = np.zeros(len(cids), np.int64), np.arange(len(cids)), [], []
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        part[front[0]] = own = front[0]
+        while front and len(left):
+            x = front.pop()
+            got, rough = index.similarities(x)[left], full[left] | full[x]
+            near = got >= np.where(rough, similarity + SLACK, similarity)
+            doubt = left[~near & rough & (got >= similarity - SLACK)]
+            doubts += [(x, y) for y in doubt.tolist()]
+            if len(doubts) > 4 * len(cids):
+                return out, [], True
+            part[left[near]] = own
+            out += [(cids[x], cids[y]) for y in left[near].tolist()]
+            front += left[near].tolist()
+            left = left[~near]
+    return out, [(cids[x], cids[y]) for x, y in doubts if part[x] != part[y]], False
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id, h, group``: near-duplicate groups of rows by word shingles: copies, and texts linked by chains of pairs with a
     Jaccard similarity of ``similarity`` or more; ``group`` is the smallest id. ``h`` is the text's hash.
 
-    Candidates share one of BANDS keys made of minima over the shingles: a pair at 0.8 fails to with a chance of 1.3e-7,
-    whether its edits are scattered or in one block; all members of a bucket are compared, each set of members once. Nulls: a null text is empty, texts without words are copies of each other; a null id is larger than all others.
+    Candidates share one of BANDS keys made of minima over the shingles: a pair at 0.8 fails to with a chance of 4e-7,
+    whether its edits are scattered or in one block; all members of a bucket are compared, each set of members once, and
+    what sketches cannot decide is decided on all shingles. Nulls: a null text is empty, texts without words are copies of each other; a null id is larger than all others.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bands, sketches = [], []
+        bands, sketches, cids = [], [], []
         for t in utf8_views(batch.column(2)):
             b, s = describe(t, width)
-            bands.append(b.astype("<u8").tobytes())
-            sketches.append(s.astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.binary()), pa.array(sketches, pa.binary())], ["id", "h", "bands", "sketch"])
+            bands.append((b >> np.uint64(32)).astype("<u4").tobytes())
+            sketches.append(s[:SKETCH].astype("<u4").tobytes())
+            cids.append(xxhash.xxh64_intdigest(s.tobytes()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.binary()), pa.array(sketches, pa.binary()), pa.array(np.array(cids, np.uint64).view(np.int64))], ["id", "h", "bands", "shingles", "cid"])
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, width).astype("<u4").tobytes() for t in utf8_views(batch.column(1))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    # A class (cid) is a set of equal descriptions: copies, and texts that differ in case or white space alone.
-    rows = materialize(map_arrow(keyed, first, f"id {kind}, h long, bands binary, sketch binary").withColumn("cid", F.xxhash64("bands", "sketch")), "near-rows")
+    # A class (cid) is one set of shingles: copies, and texts that differ in case or white space alone, or in repeats.
+    rows = materialize(map_arrow(keyed, first, f"id {kind}, h long, bands binary, shingles binary, cid long"), "near-rows")
     # One row stands for a class: that of its smallest id. Its sketch stays in the table of rows until it is asked for.
     classes = materialize(rows.groupBy("cid").agg(F.min("id").alias("low"), F.min_by("h", F.struct(F.col("id").isNull(), "id", "h")).alias("low_h"), F.first("bands").alias("bands")), "near-classes")
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cids = batch.column(0).to_numpy()
-        keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8")
+        short = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS)
+        keys = (short.astype(np.int64) | np.arange(BANDS) << 32).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(cids, BANDS))], ["key", "cid"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,39 +366,63 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     met = map_arrow(classes.select("cid", "bands"), emit, "key long, cid long").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(gather, "set long, cid long").distinct()
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cids, sketches, done = None, [], [], []
+    def by_set(solve):
+        """Runs ``solve(set, cids, shingles)`` for each set of rows that are sorted by set and cid; it returns rows (set, a, b)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, cids, sets, done = None, [], [], []
+
+            def flush():
+                out = pa.RecordBatch.from_arrays([pa.array([x[j] for x in done], pa.int64()) for j in range(3)], ["set", "a", "b"])
+                done.clear()
+                return out
+
+            for batch in batches:
+                for k, c, s in zip(*(batch.column(n).to_pylist() for n in ("set", "cid", "shingles"))):
+                    if k != now and cids:
+                        if len(cids) > 1:
+                            done.extend(solve(now, cids, sets))
+                        cids, sets = [], []
+                        if len(done) >= 20_000:
+                            yield flush()
+                    now = k
+                    if cids and cids[-1] == c:  # a row that repeats the class's first
+                        continue
+                    cids.append(c)
+                    sets.append(np.frombuffer(s, "<u4"))
+            if len(cids) > 1:
+                done.extend(solve(now, cids, sets))
+            if done:
+                yield flush()
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int64())], ["a", "b"])
-            done.clear()
-            return out
+        return run
 
-        def solve():
-            if len(cids) > 1:
-                done.extend(_similar_links(cids, sketches, similarity))
+    def sift(k: int, cids: list[int], sketches: list[np.ndarray]) -> list[tuple]:
+        """Links have no set; a doubtful pair is a set of its own, the same wherever it is met."""
+        sure, doubts, whole = _sift(cids, sketches, similarity)
+        open_ = [(k, c, None) for c in cids] if whole else []
+        if doubts:
+            ab = np.array(doubts, np.int64)
+            keys = _mixed(_mixed(ab.view(np.uint64)[:, 0], 1) + ab.view(np.uint64)[:, 1], 2).view(np.int64).tolist()
+            open_ += [(p, c, None) for p, pair in zip(keys, doubts) for c in pair]
+        return [(None, a, b) for a, b in sure] + open_
 
-        for batch in batches:
-            for k, c, s in zip(*(batch.column(n).to_pylist() for n in ("set", "cid", "sketch"))):
-                if k != now and cids:
-                    solve()
-                    cids, sketches = [], []
-                    if len(done) >= 20_000:
-                        yield flush()
-                now = k
-                if cids and cids[-1] == c:  # a row that repeats the class's first
-                    continue
-                cids.append(c)
-                sketches.append(np.frombuffer(s, "<u4"))
-        if cids:
-            solve()
-        if done:
-            yield flush()
+    def decide(k: int, cids: list[int], sets: list[np.ndarray]) -> list[tuple]:
+        return [(None, a, b) for a, b in _similar_links(cids, sets, similarity)]
 
     firsts = classes.select("cid", F.col("low").alias("__l"), F.col("low_h").alias("__lh"))
-    known = rows.join(firsts, "cid").filter(F.col("id").eqNullSafe(F.col("__l")) & (F.col("h") == F.col("__lh"))).select("cid", "sketch")
-    full = met.join(known, "cid").select("set", "cid", "sketch")
-    found = materialize(full.repartition("set").sortWithinPartitions("set", "cid").mapInArrow(verify, "a long, b long").distinct(), "near-links")
+    known = rows.join(firsts, "cid").filter(F.col("id").eqNullSafe(F.col("__l")) & (F.col("h") == F.col("__lh"))).select("cid", "shingles")
+
+    def compared(sets: DataFrame, shingles: DataFrame, solve) -> DataFrame:
+        return sets.join(shingles, "cid").select("set", "cid", "shingles").repartition("set").sortWithinPartitions("set", "cid").mapInArrow(by_set(solve), "set long, a long, b long").distinct()
+
+    sifted = materialize(compared(met, known, sift), "near-sifted")
+    undecided = sifted.filter(F.col("set").isNotNull()).select("set", F.col("a").alias("cid"))
+    # All shingles are made again, from one text of each class that is in doubt; few such classes are sent to the texts.
+    asked = materialize(classes.join(undecided.select("cid").distinct(), "cid").select("cid", F.col("low_h").alias("h")), "near-asked")
+    texts = keyed.select("h", "text").join(F.broadcast(asked) if asked.count() <= FEW else asked, "h").select("cid", "text")
+    decided = compared(undecided, map_arrow(texts, whole, "cid long, shingles binary").groupBy("cid").agg(F.first("shingles").alias("shingles")), decide)
+    found = materialize(sifted.filter(F.col("set").isNull()).unionByName(decided).select("a", "b").distinct(), "near-links")
     parts = connected_components(found)
     joined = classes.select("cid", "low").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     least = joined.groupBy("part").agg(F.min("low").alias("group"))
