@@ -91,3 +91,10 @@ def test_pipeline_against_brute_force(spark):
         assert (i in seen["decontaminate"]) == (not (hit and 20 * len(hit) >= len(w)))
     rows = [(i, r.text) for i, r in seen["decontaminate"].items()]
     audit(rows, corpus_pipeline.run(spark, SF).collect())
+
+
+def test_decontamination_searches_items_without_an_id(spark, tmp_path):
+    passage = " ".join(f"w{k}" for k in range(20))
+    spark.createDataFrame([(None, passage), (1, "another passage")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, "before " + passage), (2, "clean text"), (3, "has another passage")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()] == [2]
