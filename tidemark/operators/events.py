@@ -6,10 +6,14 @@ needed; searches around an event explode its bounded range of positions and meet
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.exprs import DAY, HOUR, MINUTE, ceil_to, floor_to, hydro_year, micros, season
+from tidemark.operators.gaps import gap_overlaps, islands
+from tidemark.operators.grid import BUCKET, with_halo
 
 STEP = 10 * MINUTE
 
@@ -43,15 +47,18 @@ def detect_pot(
         "series_id", "idx", "q", F.last(low, True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("last_low"), calm.alias("calm"),
         F.min("idx").over(Window.partitionBy("series_id")).alias("i_min"), F.max("idx").over(Window.partitionBy("series_id")).alias("i_max"),
     )
-    marks = marks.withColumn("next_calm", F.first(F.when(F.col("calm"), F.col("idx")), True).over(by.rowsBetween(0, Window.unboundedFollowing)))
+    # The next calm run, looked up in falling order: a frame to the end of the series would be evaluated anew for every row.
+    falling = Window.partitionBy("series_id").orderBy(F.desc("idx"))
+    marks = marks.withColumn("next_calm", F.last(F.when(F.col("calm"), F.col("idx")), True).over(falling.rowsBetween(Window.unboundedPreceding, 0)))
+    # A grid has every step, so a position so many steps ahead is a row so many rows ahead.
+    marks = marks.withColumn("calm_last", F.lead("next_calm", quiet).over(by)).withColumn("calm_cut", F.lead("next_calm", max_core + quiet).over(by))
     above = marks.filter(F.col("q") > peak)
     new = F.when(F.col("idx") - F.lag("idx").over(by) <= max(core_gap, inter_event) - 1, 0).otherwise(1)
     cores = above.withColumn("__n", new).withColumn("core", F.sum("__n").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    cores = cores.groupBy("series_id", "core").agg(F.min("idx").alias("g0"), F.max("idx").alias("g1"), F.min("i_min").alias("i_min"), F.max("i_max").alias("i_max"))
-    cores = cores.withColumn("g1", F.least("g1", F.col("g0") + max_core))
-    lows = marks.select("series_id", F.col("idx").alias("g0"), "last_low")
-    calms = marks.select("series_id", (F.col("idx") - quiet).alias("g1"), "next_calm")
-    e = cores.join(lows, ["series_id", "g0"]).join(calms, ["series_id", "g1"], "left")
+    e = cores.groupBy("series_id", "core").agg(
+        F.min("idx").alias("g0"), F.max("idx").alias("g1"), F.min("i_min").alias("i_min"), F.max("i_max").alias("i_max"), F.min_by("last_low", "idx").alias("last_low"), F.max_by("calm_last", "idx").alias("calm_last"), F.min_by("calm_cut", "idx").alias("calm_cut")
+    )
+    e = e.withColumn("next_calm", F.when(F.col("g1") > F.col("g0") + max_core, F.col("calm_cut")).otherwise(F.col("calm_last"))).withColumn("g1", F.least("g1", F.col("g0") + max_core))
     limit = F.least("i_max", F.col("g1") + lookahead)
     e = e.select(
         "series_id", "g0", F.greatest(F.col("g0") - lookback, F.col("last_low") + 1, "i_min").alias("i0"), F.when(F.col("next_calm") <= limit, F.col("next_calm") - (quiet - 1)).otherwise(limit).alias("i1")
@@ -113,10 +120,25 @@ def select_ietd(sensitivity: DataFrame) -> DataFrame:
     return sensitivity.filter("cv_dry is not null").groupBy("series_id").agg(F.min(F.struct(F.abs(F.col("cv_dry") - 1).alias("d"), "ietd_h")).alias("b")).select("series_id", F.col("b.ietd_h").alias("ietd_h"))
 
 
-def rolling_quantile(grid: DataFrame, days: float = 7, q: float = 0.2, min_rows: int = 72, value: str = "value") -> Column:
-    """Quantile (linear between ranks) over the time window (t - days, t], NULL with fewer than ``min_rows`` values."""
-    w = Window.partitionBy("series_id").orderBy(micros("ts")).rangeBetween(-(int(days * DAY) - 1), 0)
-    return F.when(F.count(value).over(w) >= min_rows, F.percentile(value, q).over(w))
+def rolling_quantile(grid: DataFrame, days: float = 7, q: float = 0.2, min_rows: int = 72, value: str = "value", out: str = "base", bucket: int = BUCKET) -> DataFrame:
+    """Adds ``out``: the quantile (linear between ranks) over the time window (t - days, t], NULL with fewer than ``min_rows``
+    values. Times of a series are distinct.
+
+    Spark sorts such a frame anew for every row; here a sorted window slides in pandas, over time buckets that also hold
+    what lies within reach of them, so a group is no longer than a bucket and one window.
+    """
+    names = grid.columns
+    at, kind = names.index(value), grid.schema
+    span = pd.Timedelta(microseconds=int(days * DAY))
+
+    def slide(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("ts")
+        v = pd.Series(f.iloc[:, at].to_numpy(float), index=pd.DatetimeIndex(f["ts"]))
+        f = f.assign(**{out: v.rolling(span, min_periods=max(1, min_rows)).quantile(q).to_numpy()})
+        return f.loc[~f["__guest"], [*names, out]]
+
+    dealt = with_halo(grid, int(days * DAY), bucket=bucket)
+    return dealt.groupBy("series_id", "__b").applyInPandas(slide, T.StructType([*kind.fields, T.StructField(out, T.DoubleType())]))
 
 
 def level_parameters(grid: DataFrame, rise: int = 18, k_mad: tuple[float, ...] = (3.0,), least: float = 0.03) -> DataFrame:
@@ -138,32 +160,37 @@ def detect_level_events(
     per_h = HOUR // step
     g = with_position(grid.select("series_id", "ts", "value"), step)
     by = Window.partitionBy("series_id").orderBy("idx")
-    g = g.withColumn("base", rolling_quantile(g, base_days, 0.2, base_rows)).withColumn("dh", F.col("value") - F.lag("value", rise).over(by))
     bounds = g.groupBy("series_id").agg(F.min("idx").alias("i_min"), F.max("idx").alias("i_max"))
     params = level_parameters(grid, rise, k_mad, least).select("series_id", "k_mad", "thr", F.explode(F.array(*map(F.lit, mit_h))).alias("mit_h"))
-    cand = g.select("series_id", "idx", "dh").join(F.broadcast(params), "series_id").filter(F.col("dh") > F.col("thr"))  # a row per series and setting
+    risen = g.select("series_id", "idx", (F.col("value") - F.lag("value", rise).over(by)).alias("dh"))
+    cand = risen.join(params, "series_id").filter(F.col("dh") > F.col("thr"))  # a row per series and setting
     run = Window.partitionBy("series_id", "k_mad", "mit_h").orderBy("idx")
     new = F.when(F.col("idx") - F.lag("idx").over(run) <= F.col("mit_h") * per_h, 0).otherwise(1)
     groups = cand.withColumn("__n", new).withColumn("grp", F.sum("__n").over(run.rowsBetween(Window.unboundedPreceding, 0)))
     keys = ["series_id", "k_mad", "mit_h", "grp"]
     e = groups.groupBy(*keys).agg(F.min("idx").alias("r0"), F.max("idx").alias("r1"), F.first("thr").alias("thr")).join(bounds, "series_id")
-    seg = _at(e, F.greatest(F.col("r0") - 6 * per_h, "i_min"), F.col("r0"), g, "value").filter("value is not null")
-    start = seg.groupBy(*keys).agg(F.min(F.struct("value", "idx"))["idx"].alias("s"))
-    seg = _at(e, F.col("r0"), F.least(F.col("r1") + 24 * per_h, "i_max"), g, "value").filter("value is not null")
-    peak = seg.groupBy(*keys).agg(F.min_by(F.struct("idx", "value"), F.struct(-F.col("value"), "idx")).alias("p"))
-    e = e.join(start, keys, "left").join(peak, keys).withColumn("uncertain", F.col("s").isNull()).withColumn("s", F.coalesce("s", F.greatest(F.col("r0") - rise, "i_min")))
-    at_start = g.select("series_id", F.col("idx").alias("s"), F.coalesce("base", "value").alias("b0"))
-    e = e.join(at_start, ["series_id", "s"]).filter("b0 is not null").withColumn("delta", F.col("p.value") - F.col("b0")).withColumn("jmax", F.least(F.col("p.idx") + max_recession_days * 24 * per_h, "i_max"))
+    # Start, peak and the base at the start are read off one join with the rows around the rise.
+    based = rolling_quantile(g, base_days, 0.2, base_rows)
+    seg = _at(e, F.greatest(F.col("r0") - max(6 * per_h, rise), "i_min"), F.least(F.col("r1") + 24 * per_h, "i_max"), based, "value", "base")
+    known, here = F.col("value").isNotNull(), F.struct("idx", "value", "base")
+    before, after = known & (F.col("idx") <= F.col("r0")) & (F.col("idx") >= F.col("r0") - 6 * per_h), known & (F.col("idx") >= F.col("r0"))
+    e = seg.groupBy(*keys).agg(
+        F.first("r0").alias("r0"), F.first("thr").alias("thr"), F.first("i_min").alias("i_min"), F.first("i_max").alias("i_max"),
+        F.min_by(here, F.when(before, F.struct("value", "idx"))).alias("s"), F.min_by(here, F.when(after, F.struct(-F.col("value"), "idx"))).alias("p"),
+        F.max(F.when(F.col("idx") == F.greatest(F.col("r0") - rise, "i_min"), here)).alias("s0"),
+    ).filter("p is not null")
+    e = e.withColumn("uncertain", F.col("s").isNull()).withColumn("s", F.coalesce("s", "s0"))
+    e = e.withColumn("b0", F.coalesce("s.base", "s.value")).withColumn("s", F.col("s.idx")).filter("b0 is not null")
+    e = e.withColumn("delta", F.col("p.value") - F.col("b0")).withColumn("jmax", F.least(F.col("p.idx") + max_recession_days * 24 * per_h, "i_max"))
     back = _at(e, F.col("p.idx"), F.col("jmax"), g, "value").filter(F.col("value") <= F.col("b0") + end_frac * F.col("delta")).groupBy(*keys).agg(F.min("idx").alias("e"))
     e = e.join(back, keys, "left").withColumn("capped", F.col("e").isNull()).withColumn("e", F.coalesce("e", "jmax"))
     hours = (F.col("e") - F.col("s")) * (step / HOUR)
     e = e.filter((F.col("delta") >= min_rise) & (hours >= min_hours))
-    from tidemark.operators.gaps import islands
-
     isl = islands(g.select("series_id", "ts", "idx", "value"), F.col("value").isNull()).filter("value is null").groupBy("series_id", "island").agg(F.min("idx").alias("a"), (F.max("idx") + 1).alias("b"))
-    gaps = isl.join(bounds, "series_id").filter((F.least("b", "i_max") - F.greatest(F.col("a") - 1, "i_min")) * step > gap_hours * HOUR).select(F.col("series_id").alias("__s"), "a", "b")
-    hit = e.select(*keys, "s", "e").join(gaps, (F.col("series_id") == F.col("__s")) & (F.col("a") < F.col("e")) & (F.col("b") > F.col("s"))).select(*keys).distinct().withColumn("gap_flag", F.lit(True))
+    gaps = isl.join(bounds, "series_id").filter((F.least("b", "i_max") - F.greatest(F.col("a") - 1, "i_min")) * step > gap_hours * HOUR).select("series_id", "a", "b")
+    hit = gap_overlaps(e.select(*keys, F.col("s").alias("start_idx"), F.col("e").alias("end_idx")), gaps, tuple(keys)).withColumn("gap_flag", F.lit(True))
     e = e.join(hit, keys, "left").withColumn("gap_flag", F.coalesce("gap_flag", F.lit(False)))
+    # The names of the flags.
     flags = F.array_join(F.array_compact(F.array(F.when(F.col("uncertain"), F.lit("start_uncertain")), F.when(F.col("capped"), F.lit("recession_cap")), F.when(F.col("gap_flag"), F.lit("gap_inside")))), ",")
     ts = lambda i: F.timestamp_micros((F.col(i) * step).cast("long")).cast("timestamp_ntz")
     number = F.row_number().over(Window.partitionBy("series_id", "k_mad", "mit_h").orderBy("grp"))
@@ -181,10 +208,14 @@ def window_rain(events: DataFrame, hourly: DataFrame, before_h: int = 24, covera
     return rows.groupBy("event_id", "gauge").agg(F.when(F.avg(F.col("value").isNotNull().cast("double")) >= coverage, F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 1)).alias("rain"), F.max("value").alias("max_1h"))
 
 
-def antecedent_rain(daily: DataFrame, days: int = 7, min_days: int = 5) -> DataFrame:
-    """``ts, api``: rain of the ``days`` days before each day, NULL with fewer than ``min_days`` values. One row per day."""
-    w = Window.orderBy("ts").rowsBetween(-days, -1)
-    return daily.select("ts", F.when(F.count("value").over(w) >= min_days, F.sum("value").over(w)).alias("api"))
+def antecedent_rain(daily: DataFrame, days: int = 7, min_days: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``*keys, ts, api``: rain of the ``days`` days before each day, NULL with fewer than ``min_days`` values. One row per
+    day (midnight) and area, if ``keys`` names one. Each value is sent to the days that it counts for, so that a single area
+    is many tasks."""
+    t = micros("ts")
+    ahead = daily.select(*keys, F.explode(F.sequence(t + DAY, t + days * DAY, F.lit(DAY))).alias("t"), "value").filter("value is not null")
+    sums = ahead.groupBy(*keys, "t").agg(F.count("value").alias("n"), F.sum("value").alias("s"))
+    return daily.select(*keys, "ts", t.alias("t")).join(sums, [*keys, "t"], "left").select(*keys, "ts", F.when(F.col("n") >= min_days, F.col("s")).alias("api"))
 
 
 def upstream_response(events: DataFrame, levels: DataFrame, before_h: int = 12, rise: float = 0.05, step: int = STEP) -> DataFrame:

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import HOUR, cyclical, micros, row_sum
+from tidemark.functions.exprs import HOUR, cyclical, row_sum
 from tidemark.operators.events import chronological_split
-from tidemark.operators.grid import BUCKET
+from tidemark.operators.grid import BUCKET, with_halo
 
 LAG_HOURS, CUM_HOURS, HORIZONS, PER_HOUR = (1, 2, 3, 6, 12, 24), (3, 6, 12, 24, 48), (1, 6, 24), 6
 
@@ -49,7 +49,7 @@ def training_table(
     """Wide grid with lags of values and of their ``_missing`` flags, rolling sums, flow features with lags, cyclical time
     and targets; rows without every target go; ``split`` is chronological."""
     flows = flow_differences(diffs or {}, sums)
-    base = with_halo(grid.select("*", *[c.alias(k) for k, c in flows.items()]), max(*lag_hours, *cum_hours), max(horizons), bucket)
+    base = with_halo(grid.select("*", *[c.alias(k) for k, c in flows.items()]), max(*lag_hours, *cum_hours) * HOUR, max(horizons) * HOUR, bucket)
     masks = [f"{c}_missing" for c in lagged if f"{c}_missing" in grid.columns]
     keys = (*keys, "__b")
     cols = [*lags(lagged + masks + list(flows), lag_hours, keys, per_hour), *rolling_sums(cumulated, cum_hours, keys, per_hour), *[c.alias(k) for k, c in cyclical("ts").items()], *leads(target, horizons, keys, per_hour)]
@@ -57,17 +57,6 @@ def training_table(
     return table.withColumn("split", chronological_split("ts", *(splits or ())))
 
 
-def with_halo(grid: DataFrame, before_h: int, after_h: int, bucket: int = BUCKET) -> DataFrame:
-    """Rows under their time bucket ``__b``, and as guests (``__guest``) under its neighbours where they are within so many
-    hours of them: windows of bounded reach can then run inside buckets, so a long series is many tasks."""
-    bucket = max(bucket, before_h * HOUR, after_h * HOUR)  # a reach never goes beyond the neighbours
-    t = micros("ts")
-    b = F.floor(t / F.lit(bucket))
-    nxt = F.when(t >= (b + 1) * bucket - before_h * HOUR, b + 1)
-    prev = F.when(t < b * bucket + after_h * HOUR, b - 1)
-    return grid.withColumn("__own", b).withColumn("__b", F.explode(F.array_compact(F.array(b, nxt, prev)))).withColumn("__guest", F.col("__b") != F.col("__own")).drop("__own")
-
-
 def predictor_columns(table: DataFrame, drop_prefixes: tuple[str, ...] = ("target_",), drop_suffixes: tuple[str, ...] = ("_quality", "_data_type"), drop: tuple[str, ...] = ("ts", "split", "event_id", "basin", "series_id")) -> list[str]:
     """Columns that a model may see, by naming rules."""
     return [c for c in table.columns if c not in drop and not c.lower().startswith(drop_prefixes) and not c.lower().endswith(drop_suffixes)]

@@ -59,9 +59,13 @@ def long_gaps(grid: DataFrame, hours: float = 168) -> DataFrame:
     return gap_catalogue(grid).groupBy("series_id").agg(F.count_if(F.col("span_h") > hours).alias("n_long"))
 
 
-def gap_overlaps(windows: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Windows (``series_id, start_idx, end_idx``) that a gap (``a, b``, end exclusive) overlaps: a < end and b > start."""
-    g = gaps.select(F.col("series_id").alias("__s"), "a", "b")
-    return windows.join(g, (F.col("series_id") == F.col("__s")) & (F.col("a") < F.col("end_idx")) & (F.col("b") > F.col("start_idx")), "left_semi")
+def gap_overlaps(windows: DataFrame, gaps: DataFrame, keys: tuple[str, ...], width: int = 144) -> DataFrame:
+    """``keys`` of windows (``series_id, start_idx, end_idx``, told apart by ``keys``) that a gap (``a, b``, end exclusive)
+    overlaps: a < end and b > start. Both sides are listed under the blocks of ``width`` positions that they touch, so the
+    join has equal keys and a series' windows don't meet all of its gaps."""
+    block = lambda x: F.floor(F.col(x) / F.lit(width))
+    w = windows.select("series_id", *[k for k in keys if k != "series_id"], "start_idx", "end_idx", F.explode(F.sequence(block("start_idx"), block("end_idx"))).alias("__k"))
+    g = gaps.select("series_id", "a", "b", F.explode(F.sequence(block("a"), block("b"))).alias("__k"))
+    return w.join(g, ["series_id", "__k"]).filter("a < end_idx AND b > start_idx").select(*keys).distinct()
 
 

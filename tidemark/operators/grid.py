@@ -6,12 +6,13 @@ shuffles once by series and time bucket.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.exprs import DAY, HOUR, MINUTE, SECOND, ceil_to, from_micros, micros, round_half_even
+from tidemark.functions.exprs import DAY, HOUR, MINUTE, ceil_to, from_micros, micros, round_half_even
 
 #: Length of the time buckets in which neighbours are searched, so that a long series is many tasks.
 BUCKET = 30 * DAY
@@ -31,29 +32,60 @@ def clip(obs: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 def spine(series: DataFrame, start: datetime, end: datetime, step: int = 10 * MINUTE) -> DataFrame:
     """``series_id, ts`` at every step, both ends included, of each distinct series."""
-    a, b = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    steps = F.sequence(micros(a), micros(b), F.lit(step))
-    return series.select("series_id").distinct().select("series_id", F.explode(steps).alias("__t")).select("series_id", from_micros(F.col("__t")).alias("ts"))
+    a, b = (micros(F.lit(t).cast("timestamp_ntz")) for t in (start, end))
+    day = step * max(1, DAY // step)
+    days = series.select("series_id").distinct().select("series_id", F.explode(F.sequence(a, b, F.lit(day))).alias("__d"))
+    # Days first, so that no row holds a long grid and the days of a series are spread over tasks.
+    steps = F.sequence(F.col("__d"), F.least(F.col("__d") + (day - step), b), F.lit(step))
+    return days.repartition("series_id", "__d").select("series_id", F.explode(steps).alias("__t")).select("series_id", from_micros(F.col("__t")).alias("ts"))
 
 
-def bracket(points: DataFrame, targets: DataFrame, value: str = "value", bucket: int = BUCKET) -> DataFrame:
-    """Targets with their nearest non-null points at or before (``pt, pv``) and at or after (``nt, nv``), times in micros.
+def bounds(obs: DataFrame, step: int = HOUR) -> tuple[datetime, datetime]:
+    """First and last time of a table, rounded outwards to whole steps; what a grid over all of its rows begins and ends
+    with. Two numbers reach the driver; a table without times has the epoch as both."""
+    r = obs.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).select(F.floor(micros("a") / F.lit(step)).alias("a"), F.ceil(micros("b") / F.lit(step)).alias("b")).first()
+    return tuple(datetime(1970, 1, 1) + timedelta(microseconds=(x or 0) * step) for x in r)
+
+
+def with_halo(grid: DataFrame, before: int, after: int = 0, bucket: int = BUCKET) -> DataFrame:
+    """Rows under their time bucket ``__b``, and as guests (``__guest``) under its neighbours where they are within ``before``
+    or ``after`` micros of them: windows of bounded reach can then run inside buckets, so a long series is many tasks."""
+    bucket = max(bucket, before, after)  # a reach never goes beyond the neighbours
+    t = micros("ts")
+    b = F.floor(t / F.lit(bucket))
+    nxt = F.when(t >= (b + 1) * bucket - before, b + 1)
+    prev = F.when(t < b * bucket + after, b - 1)
+    return grid.withColumn("__own", b).withColumn("__b", F.explode(F.array_compact(F.array(b, nxt, prev)))).withColumn("__guest", F.col("__b") != F.col("__own")).drop("__own")
+
+
+def bracket(points: DataFrame, targets: DataFrame, value: str = "value", bucket: int = BUCKET, carried: str | None = None) -> DataFrame:
+    """Targets with their nearest non-null points at or before (``pt, pv``) and at or after (``nt, nv``), times in micros; with
+    ``carried``, another column of the points, also its last known value, under its name.
 
     Neighbours are searched inside time buckets of a series; a small table of each bucket's first and last point carries
     them across bucket borders, so no task has to hold a whole series.
     """
-    pts = points.filter(F.col(value).isNotNull()).select("series_id", micros("ts").alias("t"), F.col(value).alias("v"), F.lit(0).alias("target"))
-    tgt = targets.select("series_id", micros("ts").alias("t"), F.lit(None).cast(points.schema[value].dataType).alias("v"), F.lit(1).alias("target"))
-    rows = pts.unionByName(tgt).groupBy("series_id", "t").agg(F.max("v").alias("v"), F.max("target").alias("target")).withColumn("b", F.floor(F.col("t") / F.lit(bucket)))
+    names = {"v": value} | ({"o": carried} if carried else {})
+    pts = points.filter(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in names.values()]))
+    pts = pts.select("series_id", micros("ts").alias("t"), *[F.col(c).alias(n) for n, c in names.items()], F.lit(0).alias("target"))
+    tgt = targets.select("series_id", micros("ts").alias("t"), F.lit(1).alias("target"))
+    # One shuffle by series and bucket serves both aggregations and the windows.
+    dealt = pts.unionByName(tgt, allowMissingColumns=True).withColumn("b", F.floor(F.col("t") / F.lit(bucket))).repartition("series_id", "b")
+    rows = dealt.groupBy("series_id", "b", "t").agg(*[F.max(c).alias(c) for c in ("v", "target", "o") if c in dealt.columns])
     point = F.when(F.col("v").isNotNull(), F.struct("t", "v"))
-    edges = rows.groupBy("series_id", "b").agg(F.min(point).alias("lo"), F.max(point).alias("hi"))
-    wb = Window.partitionBy("series_id").orderBy("b")
-    edges = edges.select("series_id", "b", F.last("hi", True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    w = Window.partitionBy("series_id", "b").orderBy("t")
-    near = rows.withColumn("p", F.last(point, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.first(point, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    edges = rows.groupBy("series_id", "b").agg(F.min(point).alias("lo"), F.max(point).alias("hi"), *([F.max_by("o", F.when(F.col("o").isNotNull(), F.col("t"))).alias("o")] if carried else []))
+    # What follows is looked up in falling order, with a frame that grows by a row at a time: one that reaches to the end
+    # of the partition would be evaluated anew for every row.
+    wb, ws = Window.partitionBy("series_id"), Window.partitionBy("series_id", "b")
+    past = lambda w, order, end: w.orderBy(order).rowsBetween(Window.unboundedPreceding, end)
+    last_o = lambda w, at: [F.last("o", True).over(at).alias(w)] if carried else []
+    edges = edges.select("series_id", "b", F.last("hi", True).over(past(wb, F.asc("b"), -1)).alias("before"), F.last("lo", True).over(past(wb, F.desc("b"), -1)).alias("after"), *last_o("o_before", past(wb, F.asc("b"), -1)))
+    up = past(ws, F.asc("t"), 0)
+    near = rows.select("*", F.last(point, True).over(up).alias("p"), *last_o("o_here", up)).withColumn("n", F.last(point, True).over(past(ws, F.desc("t"), 0)))
     out = near.filter("target = 1").join(edges, ["series_id", "b"])
     p, n = F.coalesce("p", "before"), F.coalesce("n", "after")
-    return out.select("series_id", from_micros(F.col("t")).alias("ts"), F.col("t"), p["t"].alias("pt"), p["v"].alias("pv"), n["t"].alias("nt"), n["v"].alias("nv"))
+    also = [F.coalesce("o_here", "o_before").alias(carried)] if carried else []
+    return out.select("series_id", from_micros(F.col("t")).alias("ts"), F.col("t"), p["t"].alias("pt"), p["v"].alias("pv"), n["t"].alias("nt"), n["v"].alias("nv"), *also)
 
 
 def linear(t: str = "t", pt: str = "pt", pv: str = "pv", nt: str = "nt", nv: str = "nv") -> Column:
@@ -81,12 +113,29 @@ def regrid_linear(obs: DataFrame, start: datetime, end: datetime, step: int = 10
 
 def regrid_cumulative(obs: DataFrame, start: datetime, end: datetime, step: int = 10 * MINUTE, max_gap: int = 3 * HOUR) -> DataFrame:
     """Increments on the grid, mass-conserving: the running sum is interpolated and differenced. The first cell holds its
-    running sum; after the last reading increments are 0; the gap rule comes last."""
-    w = Window.partitionBy("series_id").orderBy("ts")
+    running sum; after the last reading increments are 0; the gap rule comes last. Sums run inside time buckets, onto which
+    the sums of the buckets before are added; differences look one step back across bucket borders."""
     source = clip(obs, start, end).filter(F.col("value").isNotNull()).groupBy("series_id", "ts").agg(F.sum("value").alias("value"))
-    running = source.withColumn("value", F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cum = bracket(running, spine(obs, start, end, step)).withColumn("c", linear()).withColumn("keep", within_gap(max_gap))
-    return cum.select("series_id", "ts", F.when(F.col("keep"), F.coalesce(F.col("c") - F.lag("c").over(w), F.col("c"))).alias("value"))
+    cum = bracket(running_sum(source, "value"), spine(obs, start, end, step))
+    return _increments(cum.select("series_id", "ts", linear().alias("c"), within_gap(max_gap).alias("keep")), step).select("series_id", "ts", "value")
+
+
+def _increments(cum: DataFrame, step: int) -> DataFrame:
+    """Adds ``value``: what the running sum ``c`` grew by since the step before, the sum itself in the first cell; NULL where
+    not ``keep``. All steps must be there."""
+    w = Window.partitionBy("series_id", "__b").orderBy("ts")
+    d = F.coalesce(F.col("c") - F.lag("c").over(w), F.col("c"))
+    return with_halo(cum, step).withColumn("value", F.when(F.col("keep"), d)).filter("NOT __guest").drop("__b", "__guest")
+
+
+def running_sum(df: DataFrame, value: str, bucket: int = BUCKET) -> DataFrame:
+    """``value`` as its running sum along each series, NULL counting as 0, by time buckets: a small table of their sums carries
+    across borders."""
+    rows = df.withColumn("__b", F.floor(micros("ts") / F.lit(bucket))).repartition("series_id", "__b")
+    inside = F.sum(value).over(Window.partitionBy("series_id", "__b").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum("__s").over(Window.partitionBy("series_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = rows.groupBy("series_id", "__b").agg(F.sum(value).alias("__s")).select("series_id", "__b", F.coalesce(before, F.lit(0)).alias("__s"))
+    return rows.withColumn(value, inside).join(sums, ["series_id", "__b"]).withColumn(value, F.coalesce(value, F.lit(0)) + F.col("__s")).drop("__b", "__s")
 
 
 def quality_on_grid(obs: DataFrame, grid: DataFrame) -> DataFrame:
@@ -146,15 +195,19 @@ def with_provenance(grid: DataFrame, labels: dict[str, str] | None = None, defau
 
 def build_grid(obs: DataFrame, kinds: dict[str, str], start: datetime, end: datetime, step: int = 10 * MINUTE, max_gap: int = 3 * HOUR, good: Column | None = None, labels: dict[str, str] | None = None) -> DataFrame:
     """The whole grid in long form: each series by its kind (``instant`` or ``cumulative``), quality and provenance beside
-    the value. ``good`` is a predicate on observations; where it fails the value is taken out but the time stays."""
+    the value. ``good`` is a predicate on observations; where it fails the value is taken out but the time stays. Series of
+    both kinds, and their quality, find their neighbours in one pass."""
     if good is not None:
         obs = obs.withColumn("value", F.when(good, F.col("value")))
     snapped = snap_dedupe(obs)
     instant = [s for s, k in kinds.items() if k == "instant"]
-    cumulative = [s for s, k in kinds.items() if k == "cumulative"]
-    parts = regrid_linear(snapped.filter(F.col("series_id").isin(instant)), start, end, step, max_gap).unionByName(regrid_cumulative(snapped.filter(F.col("series_id").isin(cumulative)), start, end, step, max_gap))
-    q = quality_on_grid(clip(snapped, start, end), parts)
-    return with_provenance(parts.join(q, ["series_id", "ts"], "left"), labels).select("series_id", "ts", "value", "quality", "data_type")
+    source = clip(snapped, start, end).filter(F.col("series_id").isin(*kinds)).select("series_id", "ts", "value", "quality")
+    summed = running_sum(source.withColumn("run", F.when(~F.col("series_id").isin(instant), F.col("value"))), "run")
+    points = summed.withColumn("value", F.when(F.col("series_id").isin(instant), F.col("value")).when(F.col("value").isNotNull(), F.col("run")))
+    near = bracket(points, spine(obs.filter(F.col("series_id").isin(*kinds)), start, end, step), carried="quality")
+    cells = near.select("series_id", "ts", linear().alias("c"), within_gap(max_gap).alias("keep"), F.col("quality").cast("int").alias("quality"))
+    parts = _increments(cells, step).withColumn("value", F.when(~F.col("series_id").isin(instant), F.col("value")).when(F.col("keep"), F.col("c")))
+    return with_provenance(parts, labels).select("series_id", "ts", "value", "quality", "data_type")
 
 
 def wide(grid: DataFrame, series: list[str], value: str = "value") -> DataFrame:

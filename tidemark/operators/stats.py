@@ -15,13 +15,15 @@ def safe_corr(x: str, y: str) -> Column:
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
-def cross_correlation(x: DataFrame, y: DataFrame, lags: range, step: int = 10 * MINUTE) -> DataFrame:
-    """``x_id, y_id, lag, r, n``: correlation of x(t) with y(t + lag steps). Lags are exploded on the shorter side and meet
-    the other in one equi-join and one aggregation."""
+def cross_correlation(x: DataFrame, y: DataFrame, lags: range, step: int = 10 * MINUTE, pairs: DataFrame | None = None) -> DataFrame:
+    """``x_id, y_id, lag, r, n``: correlation of x(t) with y(t + lag steps), of each x series with each y series, or of those
+    that ``pairs`` (``x_id, y_id``) names. Lags are exploded on ``x``, which should be the side of fewer rows, and meet the
+    other in one equi-join and one aggregation."""
     a = x.filter("value is not null").select(F.col("series_id").alias("x_id"), F.floor(micros("ts") / F.lit(step)).alias("i"), F.col("value").alias("x"), F.explode(F.sequence(F.lit(lags.start), F.lit(lags[-1]), F.lit(lags.step))).alias("lag"))
     b = y.filter("value is not null").select(F.col("series_id").alias("y_id"), F.floor(micros("ts") / F.lit(step)).alias("j"), F.col("value").alias("y"))
-    pairs = a.withColumn("j", F.col("i") + F.col("lag")).join(b, "j")
-    return pairs.groupBy("x_id", "y_id", "lag").agg(safe_corr("x", "y").alias("r"), F.count("*").alias("n"))
+    a = a.withColumn("j", F.col("i") + F.col("lag"))
+    met = a.join(b, "j") if pairs is None else a.join(pairs.select("x_id", "y_id").distinct(), "x_id").join(b, ["y_id", "j"])
+    return met.groupBy("x_id", "y_id", "lag").agg(safe_corr("x", "y").alias("r"), F.count("*").alias("n"))
 
 
 def best_lag(ccf: DataFrame) -> DataFrame:

@@ -186,7 +186,7 @@ def antecedent_rain(spark: SparkSession, d: str) -> DataFrame:
 )
 def rolling_time_quantile(spark: SparkSession, d: str) -> DataFrame:
     g = binned(spark, d, 60)
-    return g.select("series_id", "ts", F.round(events.rolling_quantile(g, 7, 0.2, 24), 5).alias("q"))
+    return events.rolling_quantile(g, 7, 0.2, 24).select("series_id", "ts", F.round("base", 5).alias("q"))
 
 
 # --- features --------------------------------------------------------------------------------------------------------------

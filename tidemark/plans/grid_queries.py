@@ -265,7 +265,7 @@ _DRIFT = f"""{OBS}, f AS (SELECT *, ts >= TIMESTAMP '2024-01-15' AS e FROM obs),
     j AS (SELECT coalesce(a.series_id, b.series_id) AS series_id, coalesce(a.hour, b.hour) AS hour, a.m AS me, a.n AS ne, b.m AS mh, b.n AS nh FROM (SELECT * FROM q WHERE e) a FULL JOIN (SELECT * FROM q WHERE NOT e) b ON a.series_id = b.series_id AND a.hour = b.hour),
     x AS (SELECT *, me - mh - avg(me - mh) OVER (PARTITION BY series_id) AS drift FROM j),
     y AS (SELECT series_id, hour, drift, max(me) OVER w - min(me) OVER w AS rng_ext, max(mh) OVER w - min(mh) OVER w AS rng_hist, max(drift) OVER w - min(drift) OVER w AS drift_rng, sum(ne) OVER w AS n_ext, sum(nh) OVER w AS n_hist FROM x WINDOW w AS (PARTITION BY series_id)),
-    t AS (SELECT *, CASE WHEN n_ext < 50 OR n_hist < 50 THEN 'insufficient quiet samples' WHEN NOT coalesce(rng_hist > 0, false) THEN 'degenerate historical climatology' WHEN drift_rng < 1 OR rng_ext < 1.0 * rng_hist THEN 'no significant drift' END AS reason FROM y)"""
+    t AS (SELECT *, CASE WHEN n_ext < 50 OR n_hist < 50 THEN 'few_quiet_rows' WHEN NOT coalesce(rng_hist > 0, false) THEN 'flat_history' WHEN drift_rng < 1 OR rng_ext < 1.0 * rng_hist THEN 'small_drift' END AS reason FROM y)"""
 
 
 @query("diurnal_drift", f"WITH {_DRIFT} SELECT series_id, CAST(hour AS INT) AS hour, round(drift, 6) AS drift, round(rng_ext, 6) AS rng_ext, round(rng_hist, 6) AS rng_hist, round(drift_rng, 6) AS drift_rng, CAST(n_ext AS BIGINT) AS n_ext, CAST(n_hist AS BIGINT) AS n_hist, reason, reason IS NULL AS applied FROM t")
