@@ -200,12 +200,12 @@ def detect_level_events(
     )
 
 
-def window_rain(events: DataFrame, hourly: DataFrame, before_h: int = 24, coverage: float = 0.8) -> DataFrame:
-    """Per event and gauge: rain from ``before_h`` hours before the start to the end, NULL below the coverage of valid hours,
-    and the largest hourly value. ``hourly(gauge, ts, value)`` has a row for every hour."""
-    e = events.select("event_id", F.explode(F.sequence(micros(floor_to("start", HOUR)) - before_h * HOUR, micros("end"), F.lit(HOUR))).alias("t"), (micros("start") - before_h * HOUR).alias("t0"))
+def window_rain(events: DataFrame, hourly: DataFrame, before_h: int = 24, coverage: float = 0.8, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Per event (told apart by ``keys``) and gauge: rain from ``before_h`` hours before the start to the end, NULL below the
+    coverage of valid hours, and the largest hourly value. ``hourly(gauge, ts, value)`` has a row for every hour."""
+    e = events.select(*keys, F.explode(F.sequence(micros(floor_to("start", HOUR)) - before_h * HOUR, micros("end"), F.lit(HOUR))).alias("t"), (micros("start") - before_h * HOUR).alias("t0"))
     rows = e.filter("t >= t0").join(hourly.select("gauge", micros("ts").alias("t"), "value"), "t")
-    return rows.groupBy("event_id", "gauge").agg(F.when(F.avg(F.col("value").isNotNull().cast("double")) >= coverage, F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 1)).alias("rain"), F.max("value").alias("max_1h"))
+    return rows.groupBy(*keys, "gauge").agg(F.when(F.avg(F.col("value").isNotNull().cast("double")) >= coverage, F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 1)).alias("rain"), F.max("value").alias("max_1h"))
 
 
 def antecedent_rain(daily: DataFrame, days: int = 7, min_days: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -218,23 +218,25 @@ def antecedent_rain(daily: DataFrame, days: int = 7, min_days: int = 5, keys: tu
     return daily.select(*keys, "ts", t.alias("t")).join(sums, [*keys, "t"], "left").select(*keys, "ts", F.when(F.col("n") >= min_days, F.col("s")).alias("api"))
 
 
-def upstream_response(events: DataFrame, levels: DataFrame, before_h: int = 12, rise: float = 0.05, step: int = STEP) -> DataFrame:
-    """Per event: gauges whose level ranges over more than ``rise`` from ``before_h`` hours before the start to the end."""
-    e = events.select("event_id", F.explode(F.sequence(F.floor(micros("start") / F.lit(step)) - before_h * (HOUR // step), F.floor(micros("end") / F.lit(step)))).alias("idx"))
+def upstream_response(events: DataFrame, levels: DataFrame, before_h: int = 12, rise: float = 0.05, step: int = STEP, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Per event (told apart by ``keys``): gauges whose level ranges over more than ``rise`` from ``before_h`` hours before the
+    start to the end; an event's own series, if among the keys, is none of them."""
+    e = events.select(*keys, F.explode(F.sequence(F.floor(micros("start") / F.lit(step)) - before_h * (HOUR // step), F.floor(micros("end") / F.lit(step)))).alias("idx"))
     g = with_position(levels, step).filter("value is not null").select(F.col("series_id").alias("gauge"), "idx", "value")
-    r = e.join(g, "idx").groupBy("event_id", "gauge").agg((F.max("value") - F.min("value")).alias("range"))
-    return events.select("event_id").join(r.groupBy("event_id").agg(F.count_if(F.col("range") > rise).alias("n")), "event_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n_upstream"))
+    met = e.join(g, "idx")
+    r = (met.filter("gauge != series_id") if "series_id" in keys else met).groupBy(*keys, "gauge").agg((F.max("value") - F.min("value")).alias("range"))
+    return events.select(*keys).join(r.groupBy(*keys).agg(F.count_if(F.col("range") > rise).alias("n")), list(keys), "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n_upstream"))
 
 
-def rain_driven(events: DataFrame, rains: DataFrame, before_h: int = 24, after_h: int = 6) -> DataFrame:
+def rain_driven(events: DataFrame, rains: DataFrame, before_h: int = 24, after_h: int = 6, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Events for which some rain event overlaps [start - before, start + after]. Overlap is found by day: both sides are
     listed under the days they touch, so the join has equal keys."""
     days = lambda a, b: F.explode(F.sequence(F.floor(a / F.lit(DAY)), F.floor(b / F.lit(DAY)))).alias("day")
     lo, hi = micros("start") - before_h * HOUR, micros("start") + after_h * HOUR
-    e = events.select("event_id", lo.alias("lo"), hi.alias("hi"), days(lo, hi))
+    e = events.select(*keys, lo.alias("lo"), hi.alias("hi"), days(lo, hi))
     r = rains.select(micros("start").alias("a"), micros("end").alias("b"), days(micros("start"), micros("end")))
-    hit = e.join(r, "day").filter("a <= hi AND b >= lo").select("event_id").distinct()
-    return events.join(hit, "event_id", "left_semi")
+    hit = e.join(r, "day").filter("a <= hi AND b >= lo").select(*keys).distinct()
+    return events.join(hit, list(keys), "left_semi")
 
 
 def seasons(events: DataFrame) -> DataFrame:
@@ -247,3 +249,17 @@ def events_per_year(events: DataFrame) -> DataFrame:
     return per.agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.percentile("n", 0.5).alias("n_median"))
 
 
+def month_counts(kinds: dict[str, DataFrame], ts: str = "start") -> DataFrame:
+    """``month`` and a column ``n_<kind>`` for each kind of events, pooled over gauges: how many begin in that month of any
+    year."""
+    rows = None
+    for k, e in kinds.items():
+        part = e.select(F.month(ts).alias("month"), F.lit(k).alias("kind"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("month").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
+
+
+def around_cut(events: DataFrame, cut: str, ts: str = "peak_ts", keys: tuple[str, ...] = ("series_id",)) -> DataFrame:
+    """Per series: events before a cut date, from it on, and in all."""
+    t = F.lit(cut).cast("timestamp_ntz")
+    return events.groupBy(*keys).agg(F.count_if(F.col(ts) < t).alias("n_before"), F.count_if(F.col(ts) >= t).alias("n_after"), F.count("*").alias("n"))

@@ -18,7 +18,6 @@ from tidemark.operators import grid, stats
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-START, END = datetime(2024, 1, 1), datetime(2024, 1, 30)
 SERIES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -41,21 +40,27 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("series_id"), "ts", "value", k.alias("k"), (k % 3).alias("quality"))
 
 
+def span(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:
+    """Whole hours around all events of the table: where its grids begin and end."""
+    return grid.bounds(table(spark, sf_dir, "events"))
+
+
 def binned(spark: SparkSession, sf_dir: str, minutes: int = 10) -> DataFrame:
     """Means of each step on the full grid, NULL where a step has no reading."""
     obs = observations(spark, sf_dir)
-    cells = grid.spine(obs, START, END, minutes * MINUTE)
+    cells = grid.spine(obs, *span(spark, sf_dir), minutes * MINUTE)
     return cells.join(stats.calendar_mean(obs, minutes * MINUTE), ["series_id", "ts"], "left")
 
 
 # --- the same views in SQL -------------------------------------------------------------------------------------------
 
 OBS = "obs AS (SELECT event_id, event_type AS series_id, ts, value, CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(json_extract_string(props, '$.k') AS INT) % 3 AS quality FROM events)"
-CLIPPED = "clipped AS (SELECT * FROM obs WHERE ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-30')"
+#: Whole hours around all events.
+SPAN = "span AS (SELECT date_trunc('hour', min(ts))::TIMESTAMP AS a, make_timestamp(((epoch_us(max(ts)) + 3599999999) // 3600000000) * 3600000000) AS z FROM events)"
 
 
 def sql_spine(minutes: int = 10) -> str:
-    return f"spine AS (SELECT series_id, ts FROM (SELECT DISTINCT series_id FROM obs), (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL {minutes} MINUTE)) AS ts))"
+    return f"{SPAN}, spine AS (SELECT series_id, ts FROM (SELECT DISTINCT series_id FROM obs), (SELECT unnest(generate_series(a, z, INTERVAL {minutes} MINUTE)) AS ts FROM span))"
 
 
 def sql_binned(minutes: int = 10) -> str:

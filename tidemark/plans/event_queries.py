@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAY, HOUR
 from tidemark.operators import events, features, gaps, grid, stats
-from tidemark.plans.base import OBS, SERIES, binned, observations, query, sql_binned
+from tidemark.plans.base import OBS, SERIES, binned, observations, query, span, sql_binned
 from tidemark.plans.grid_queries import r6
 
 # --- peaks over threshold ------------------------------------------------------------------------------------------------
@@ -125,40 +127,51 @@ def level_events(spark: SparkSession, d: str) -> DataFrame:
     return _levels(spark, d)
 
 
-_ONE = "one AS (SELECT event_id, start, fin FROM le WHERE series_id = 'view' AND k_mad = 3 AND mit_h = 12)"
+#: The events of one setting, at every station.
+_ONE = "one AS (SELECT series_id, event_id, start, fin FROM le WHERE k_mad = 3 AND mit_h = 12)"
+_KEY = ("series_id", "event_id")
 
 
-def _one_station(spark: SparkSession, d: str) -> DataFrame:
-    return events.detect_level_events(_scaled(spark, d).filter("series_id = 'view'"), (12,), (3.0,), min_rise=3.0)
+def _stations(spark: SparkSession, d: str) -> DataFrame:
+    return events.detect_level_events(_scaled(spark, d), (12,), (3.0,), min_rise=3.0)
 
 
 @query(
     "event_rain",
-    f"""WITH {_LEVEL_SQL}, {_ONE}, hs AS (SELECT s.series_id AS gauge, x.ts, v.value FROM (SELECT DISTINCT series_id FROM obs) s CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-02-05', INTERVAL 1 HOUR)) AS ts) x LEFT JOIN (SELECT series_id, date_trunc('hour', ts)::TIMESTAMP AS ts, sum(value) / pi() AS value FROM obs GROUP BY 1, 2) v ON v.series_id = s.series_id AND v.ts = x.ts)
-    SELECT event_id, gauge, CASE WHEN avg(CASE WHEN value IS NULL THEN 0 ELSE 1 END) >= 0.8 THEN round(coalesce(sum(value), 0), 1) END AS rain, round(max(value), 4) AS max_1h FROM one JOIN hs ON ts BETWEEN start - INTERVAL 24 HOUR AND fin GROUP BY 1, 2""",
+    f"""WITH {_LEVEL_SQL}, {_ONE}, hs AS (SELECT s.series_id AS gauge, x.ts, v.value FROM (SELECT DISTINCT series_id FROM obs) s CROSS JOIN (SELECT unnest(generate_series(a - INTERVAL 7 DAY, z + INTERVAL 7 DAY, INTERVAL 1 HOUR)) AS ts FROM span) x LEFT JOIN (SELECT series_id, date_trunc('hour', ts)::TIMESTAMP AS ts, sum(value) / pi() AS value FROM obs GROUP BY 1, 2) v ON v.series_id = s.series_id AND v.ts = x.ts)
+    SELECT one.series_id, event_id, gauge, CASE WHEN avg(CASE WHEN value IS NULL THEN 0 ELSE 1 END) >= 0.8 THEN round(coalesce(sum(value), 0), 1) END AS rain, round(max(value), 4) AS max_1h FROM one JOIN hs ON ts BETWEEN start - INTERVAL 24 HOUR AND fin GROUP BY 1, 2, 3""",
 )
 def event_rain(spark: SparkSession, d: str) -> DataFrame:
-    from datetime import datetime
-
     obs = observations(spark, d)
-    cells = grid.spine(obs, datetime(2023, 12, 25), datetime(2024, 2, 5), HOUR)
+    a, z = span(spark, d)
+    cells = grid.spine(obs, a - timedelta(days=7), z + timedelta(days=7), HOUR)
     hourly = cells.join(stats.calendar_sum(obs, HOUR), ["series_id", "ts"], "left").select(F.col("series_id").alias("gauge"), "ts", (F.col("value") / F.pi()).alias("value"))
-    return events.window_rain(_one_station(spark, d), hourly).select("event_id", "gauge", "rain", F.round("max_1h", 4).alias("max_1h"))
+    return events.window_rain(_stations(spark, d), hourly, keys=_KEY).select(*_KEY, "gauge", "rain", F.round("max_1h", 4).alias("max_1h"))
 
 
 @query(
     "upstream_response",
-    f"""WITH {_LEVEL_SQL}, {_ONE}, r AS (SELECT event_id, g.series_id, max(value) - min(value) AS r FROM one JOIN g ON idx BETWEEN epoch_us(start) // 600000000 - 72 AND epoch_us(fin) // 600000000 AND g.series_id <> 'view' AND value IS NOT NULL GROUP BY 1, 2)
-    SELECT one.event_id, count(*) FILTER (WHERE r > 20) AS n_upstream FROM one LEFT JOIN r USING (event_id) GROUP BY 1""",
+    f"""WITH {_LEVEL_SQL}, {_ONE}, r AS (SELECT one.series_id, event_id, g.series_id AS gauge, max(value) - min(value) AS r FROM one JOIN g ON idx BETWEEN epoch_us(start) // 600000000 - 72 AND epoch_us(fin) // 600000000 AND g.series_id <> one.series_id AND value IS NOT NULL GROUP BY 1, 2, 3)
+    SELECT one.series_id, one.event_id, count(*) FILTER (WHERE r > 20) AS n_upstream FROM one LEFT JOIN r USING (series_id, event_id) GROUP BY 1, 2""",
 )
 def upstream_response(spark: SparkSession, d: str) -> DataFrame:
-    return events.upstream_response(_one_station(spark, d), _scaled(spark, d).filter("series_id != 'view'"), rise=60 / 3)
+    return events.upstream_response(_stations(spark, d), _scaled(spark, d), rise=60 / 3, keys=_KEY)
 
 
-@query("rain_driver_exists", f"WITH {_LEVEL_SQL}, {_ONE}, {_RAIN} SELECT event_id FROM one WHERE EXISTS (SELECT 1 FROM re WHERE series_id = 'error' AND ietd_h = 6 AND re.start <= one.start + INTERVAL 6 HOUR AND re.fin >= one.start - INTERVAL 24 HOUR)")
+@query("rain_driver_exists", f"WITH {_LEVEL_SQL}, {_ONE}, {_RAIN} SELECT series_id, event_id FROM one WHERE EXISTS (SELECT 1 FROM re WHERE ietd_h = 2 AND re.start <= one.start + INTERVAL 6 HOUR AND re.fin >= one.start - INTERVAL 24 HOUR)")
 def rain_driver_exists(spark: SparkSession, d: str) -> DataFrame:
-    rains = _rain(spark, d).filter("series_id = 'error' AND ietd_h = 6")
-    return events.rain_driven(_one_station(spark, d), rains).select("event_id")
+    rains = events.rain_events(observations(spark, d), (2,), 100.0)  # of all gauges
+    return events.rain_driven(_stations(spark, d), rains, keys=_KEY).select(*_KEY)
+
+
+@query("event_months", f"WITH {_LEVEL_SQL}, {_ONE}, {_RAIN}, mm AS (SELECT 'rain' AS kind, start FROM re WHERE ietd_h = 6 UNION ALL SELECT 'level', start FROM one) SELECT CAST(month(start) AS INT) AS month, count(*) FILTER (WHERE kind = 'rain') AS n_rain, count(*) FILTER (WHERE kind = 'level') AS n_level FROM mm GROUP BY 1")
+def event_months(spark: SparkSession, d: str) -> DataFrame:
+    return events.month_counts({"rain": events.rain_events(observations(spark, d), (6,), 100.0), "level": _stations(spark, d)})
+
+
+@query("events_around_cut", f"WITH {_POT_SQL} SELECT series_id, count(*) FILTER (WHERE make_timestamp(peak_idx * 600000000) < TIMESTAMP '2024-01-20') AS n_before, count(*) FILTER (WHERE make_timestamp(peak_idx * 600000000) >= TIMESTAMP '2024-01-20') AS n_after, count(*) AS n FROM ev GROUP BY 1")
+def events_around_cut(spark: SparkSession, d: str) -> DataFrame:
+    return events.around_cut(_pot(spark, d)[1], "2024-01-20 00:00:00")
 
 
 @query("event_seasons", f"WITH {_LEVEL_SQL} SELECT series_id, count(*) AS n, CASE WHEN month(start) IN (12, 1, 2) THEN 'DJF' ELSE 'MAM' END AS season, CAST(year(start) + (month(start) >= 10)::INT AS INT) AS hydro_year FROM le GROUP BY 1, 3, 4")

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import DAY, HOUR, MINUTE
 from tidemark.operators import curves, gaps, grid, qc, stats
-from tidemark.plans.base import CEIL_HOUR, CLIPPED, END, LINEAR, OBS, SERIES, START, binned, observations, query, sql_binned, sql_bracket, sql_spine, sql_within, table
+from tidemark.plans.base import CEIL_HOUR, LINEAR, OBS, SERIES, binned, observations, query, span, sql_binned, sql_bracket, sql_spine, sql_within, table
 
 
 def r6(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+@query("clip_window", f"WITH {OBS} SELECT series_id, ts, value FROM obs WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-20 12:00:00'")
+def clip_window(spark: SparkSession, d: str) -> DataFrame:
+    """The window is the feature."""
+    return grid.clip(observations(spark, d), datetime(2024, 1, 10), datetime(2024, 1, 20, 12)).select("series_id", "ts", "value")
+
+
 @query(
     "snap_dedupe",
     f"""WITH {OBS}, s AS (SELECT *, make_timestamp(CAST(round_even(epoch_us(ts) / 60000000, 0) AS BIGINT) * 60000000) AS m FROM obs),
@@ -24,60 +32,59 @@ def snap_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return grid.snap_dedupe(observations(spark, d), order=("event_id",)).select("series_id", "ts", "value", "quality")
 
 
-@query("regrid_linear_10min", f"WITH {OBS}, {CLIPPED}, {sql_spine()}, {sql_bracket('clipped')} SELECT series_id, ts, round(CASE WHEN {sql_within(30)} THEN {LINEAR} END, 6) AS value FROM near")
+@query("regrid_linear_10min", f"WITH {OBS}, {sql_spine()}, {sql_bracket('obs')} SELECT series_id, ts, round(CASE WHEN {sql_within(30)} THEN {LINEAR} END, 6) AS value FROM near")
 def regrid_linear_10min(spark: SparkSession, d: str) -> DataFrame:
-    return r6(grid.regrid_linear(observations(spark, d), START, END, max_gap=30 * MINUTE), "value")
+    return r6(grid.regrid_linear(observations(spark, d), *span(spark, d), max_gap=30 * MINUTE), "value")
 
 
 @query(
     "regrid_mean_10min",
-    f"""WITH {OBS}, {CLIPPED}, {sql_spine()}, m AS (SELECT series_id, make_timestamp(((epoch_us(ts) + 599999999) // 600000000) * 600000000) AS ts, avg(value) AS value FROM clipped GROUP BY 1, 2)
+    f"""WITH {OBS}, {sql_spine()}, m AS (SELECT series_id, make_timestamp(((epoch_us(ts) + 599999999) // 600000000) * 600000000) AS ts, avg(value) AS value FROM obs GROUP BY 1, 2)
     SELECT series_id, ts, round(m.value, 6) AS value FROM spine LEFT JOIN m USING (series_id, ts)""",
 )
 def regrid_mean_10min(spark: SparkSession, d: str) -> DataFrame:
-    return r6(grid.regrid_linear(observations(spark, d), START, END, method="mean"), "value")
+    return r6(grid.regrid_linear(observations(spark, d), *span(spark, d), method="mean"), "value")
 
 
-_CUM = f"""{OBS}, {CLIPPED}, {sql_spine()}, one AS (SELECT series_id, ts, sum(value) AS value FROM clipped WHERE value IS NOT NULL GROUP BY 1, 2),
+_CUM = f"""{OBS}, {sql_spine()}, one AS (SELECT series_id, ts, sum(value) AS value FROM obs WHERE value IS NOT NULL GROUP BY 1, 2),
     run AS (SELECT series_id, ts, sum(value) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS value FROM one), {sql_bracket("run")},
     inc AS (SELECT series_id, ts, CASE WHEN keep THEN coalesce(c - lag(c) OVER (PARTITION BY series_id ORDER BY ts), c) END AS value FROM (SELECT *, {LINEAR} AS c, {{}} AS keep FROM near))"""
 
 
 @query("regrid_cumulative_10min", f"WITH {_CUM.format(sql_within(30))} SELECT series_id, ts, round(value, 6) AS value FROM inc")
 def regrid_cumulative_10min(spark: SparkSession, d: str) -> DataFrame:
-    return r6(grid.regrid_cumulative(observations(spark, d), START, END, max_gap=30 * MINUTE), "value")
+    return r6(grid.regrid_cumulative(observations(spark, d), *span(spark, d), max_gap=30 * MINUTE), "value")
 
 
 @query(
     "mass_conservation",
-    f"""WITH {_CUM.format(sql_within(180))}, f AS (SELECT series_id, {CEIL_HOUR} AS ts, coalesce(sum(value), 0) AS fine FROM inc GROUP BY 1, 2), c AS (SELECT series_id, {CEIL_HOUR} AS ts, coalesce(sum(value), 0) AS coarse FROM clipped GROUP BY 1, 2)
+    f"""WITH {_CUM.format(sql_within(180))}, f AS (SELECT series_id, {CEIL_HOUR} AS ts, coalesce(sum(value), 0) AS fine FROM inc GROUP BY 1, 2), c AS (SELECT series_id, {CEIL_HOUR} AS ts, coalesce(sum(value), 0) AS coarse FROM obs GROUP BY 1, 2)
     SELECT series_id, count(*) AS n, round(max(abs(fine - coarse)), 6) AS max_abs, round(avg(abs(fine - coarse)), 6) AS mean_abs FROM f JOIN c USING (series_id, ts) GROUP BY 1""",
 )
 def mass_conservation(spark: SparkSession, d: str) -> DataFrame:
     obs = observations(spark, d)
-    fine = grid.regrid_cumulative(obs, START, END)
-    return r6(grid.mass_check(fine, grid.right_closed_sum(grid.clip(obs, START, END))), "max_abs", "mean_abs")
+    fine = grid.regrid_cumulative(obs, *span(spark, d))
+    return r6(grid.mass_check(fine, grid.right_closed_sum(obs)), "max_abs", "mean_abs")
 
 
-@query("quality_ffill", f"WITH {OBS}, {CLIPPED}, {sql_spine()}, {sql_bracket('clipped', value='quality')} SELECT series_id, ts, CAST(pv AS INT) AS quality FROM near")
+@query("quality_ffill", f"WITH {OBS}, {sql_spine()}, {sql_bracket('obs', value='quality')} SELECT series_id, ts, CAST(pv AS INT) AS quality FROM near")
 def quality_ffill(spark: SparkSession, d: str) -> DataFrame:
     obs = observations(spark, d)
-    return grid.quality_on_grid(grid.clip(obs, START, END), grid.spine(obs, START, END))
+    return grid.quality_on_grid(obs, grid.spine(obs, *span(spark, d)))
 
 
 @query(
     "grid_build",
     f"""WITH {OBS}, snap AS (SELECT series_id, m AS ts, value, quality FROM (SELECT *, row_number() OVER (PARTITION BY series_id, m ORDER BY ts) AS r FROM (SELECT *, make_timestamp(CAST(round_even(epoch_us(ts) / 60000000, 0) AS BIGINT) * 60000000) AS m FROM (SELECT * REPLACE (CASE WHEN quality <> 2 THEN value END AS value) FROM obs))) WHERE r = 1),
-    clipped AS (SELECT * FROM snap WHERE ts BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-30'), {sql_spine()},
-    {sql_bracket("clipped", out="q", value="quality")}, {sql_bracket("clipped")},
-    run AS (SELECT series_id, ts, sum(value) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS value FROM clipped WHERE value IS NOT NULL), {sql_bracket("run", out="cum")},
+    {sql_spine()}, {sql_bracket("snap", out="q", value="quality")}, {sql_bracket("snap")},
+    run AS (SELECT series_id, ts, sum(value) OVER (PARTITION BY series_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS value FROM snap WHERE value IS NOT NULL), {sql_bracket("run", out="cum")},
     inc AS (SELECT series_id, ts, CASE WHEN keep THEN coalesce(c - lag(c) OVER (PARTITION BY series_id ORDER BY ts), c) END AS value FROM (SELECT *, {LINEAR} AS c, {sql_within(180)} AS keep FROM cum)),
     v AS (SELECT series_id, ts, CASE WHEN {sql_within(180)} THEN {LINEAR} END AS value FROM near WHERE series_id NOT IN ('purchase', 'signup') UNION ALL SELECT * FROM inc WHERE series_id IN ('purchase', 'signup'))
     SELECT v.series_id, v.ts, round(v.value / pi(), 6) AS value, CAST(q.pv AS INT) AS quality, CASE WHEN v.series_id = 'signup' THEN 'derived' ELSE 'observed' END AS data_type FROM v LEFT JOIN q USING (series_id, ts)""",
 )
 def grid_build(spark: SparkSession, d: str) -> DataFrame:
     kinds = {s: "cumulative" if s in ("purchase", "signup") else "instant" for s in SERIES}
-    built = grid.build_grid(observations(spark, d), kinds, START, END, good=F.col("quality") != 2, labels={"signup": "derived"})
+    built = grid.build_grid(observations(spark, d), kinds, *span(spark, d), good=F.col("quality") != 2, labels={"signup": "derived"})
     return r6(built.withColumn("value", F.col("value") / F.pi()), "value")  # no rounding ties
 
 
@@ -97,7 +104,7 @@ def disaggregate_template(spark: SparkSession, d: str) -> DataFrame:
     coarse = grid.right_closed_sum(view)
     ten = stats.calendar_sum(obs, 10 * MINUTE)
     donors = ten.groupBy("ts").agg(F.max(F.when(F.col("series_id") == "click", F.col("value"))).alias("d1"), F.max(F.when(F.col("series_id") == "error", F.col("value"))).alias("d2"))
-    return r6(grid.disaggregate(coarse, donors, grid.spine(view, START, END)), "value")
+    return r6(grid.disaggregate(coarse, donors, grid.spine(view, *span(spark, d))), "value")
 
 
 @query(
