@@ -158,3 +158,36 @@ def test_long_texts_are_decided_on_all_their_shingles(spark):
         want[1000 + k] = 1001 if k % 2 else 1000 + k
     got = {r.id: r.group for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_hubs_have_one_component(spark):
+    from tidemark.llm.components import connected_components
+
+    rng = random.Random(3)
+    star = [(1_000_000, k) for k in range(20_000)] + [(k, k + 50_000) for k in range(0, 20_000, 7)]
+    chain = [(2_000_000 + k, 2_000_001 + k) for k in range(300)]
+    rng.shuffle(star)
+    got = {r.node: r.part for r in connected_components(spark.createDataFrame(star + chain, "a long, b long")).collect()}
+    assert all(got[a] == got[b] == (0 if a < 2_000_000 else 2_000_000) for a, b in star + chain if 0 < min(a, b) and min(a, b) != 2_000_000)
+
+
+def test_a_set_of_unlike_members_costs_little():
+    import time
+
+    from tidemark.llm.simhash import _sift, _similar_links
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 32, 256)).astype("<u4") for _ in range(4000)]
+    began = time.perf_counter()
+    assert _sift(list(range(4000)), sets, 0.8) == ([], [], False) and _similar_links(list(range(4000)), sets, 0.8) == []
+    assert time.perf_counter() - began < 20
+
+
+def test_names(spark):
+    from tidemark.llm.simhash import drop_near_duplicates
+
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [("b", text, "v", 1, 2), ("a", text, "w", 3, 4), ("c", text + " other words at the end of it all here now", "x", 5, 6), (None, text, "y", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, __i string, __h int, cid int")
+    got = sorted(map(tuple, drop_near_duplicates(df).collect()))
+    assert got == [rows[1], rows[2]]

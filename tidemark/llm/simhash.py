@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_arrow, materialize, utf8_views
+from tidemark.llm._common import free_names, map_arrow, materialize, utf8_views
 from tidemark.llm.components import connected_components
 
 SEED = 42
@@ -247,16 +247,29 @@ class Sketches:
         self.from_, self.counts = np.cumsum(counts) - counts, counts
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
         self.ids = ids
-
-    def similarities(self, i: int) -> np.ndarray:
+        self.keys = (self.rows << 33) | self.values  # ascending, to count a sketch's hashes up to a bound
+        self.empty = np.flatnonzero(self.sizes == 0)
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sketches that share a hash with sketch ``i`` (all empty ones, if it is empty) and their similarities; others
+        have none. Costs what those sketches share, whatever the size of the set."""
+        if not self.sizes[i]:
+            return self.empty, np.ones(len(self.empty))
         mine = self.ids[self.begin[i] : self.begin[i + 1]]
         n = self.counts[mine]
         at = np.repeat(self.from_[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(self.holders[at], minlength=len(self.sketches))
-        theirs = np.bincount(self.rows[self.values <= self.top[i]], minlength=len(self.sketches))
-        own = np.searchsorted(self.values[self.begin[i] : self.begin[i + 1]], self.top, "right")
-        total = np.where(self.top < self.top[i], self.sizes + own, theirs + self.sizes[i]) - both
-        return np.where(total > 0, both / np.maximum(total, 1), 1.0)
+        found, both = np.unique(self.holders[at], return_counts=True)
+        theirs = np.searchsorted(self.keys, (found << 33) | min(int(self.top[i]), (1 << 33) - 1), "right") - self.begin[found]
+        own = np.searchsorted(self.values[self.begin[i] : self.begin[i + 1]], self.top[found], "right")
+        total = np.where(self.top[found] < self.top[i], self.sizes[found] + own, theirs + self.sizes[i]) - both
+        return found, both / total
+
+    def similarities(self, i: int) -> np.ndarray:
+        """To every sketch of the set."""
+        out = np.zeros(len(self.sketches))
+        found, s = self.near(i)
+        out[found] = s
+        return out
 
 
 def sketch_similarity(a: np.ndarray, b: np.ndarray, size: float = SKETCH) -> float:
@@ -273,15 +286,18 @@ def _similar_links(cids: list[int], sets: list[np.ndarray], similarity: float) -
     if len(cids) == 2:
         return [(cids[0], cids[1])] if sketch_similarity(*sets, size=np.inf) >= similarity else []
     index = Sketches(sets, np.inf)
-    left, out = np.arange(len(cids)), []
-    while len(left):
-        front, left = [int(left[0])], left[1:]
-        while front and len(left):
+    left, out = np.ones(len(cids), bool), []
+    for first in range(len(cids)):
+        if not left[first]:
+            continue
+        front, left[first] = [first], False
+        while front:
             x = front.pop()
-            near = index.similarities(x)[left] >= similarity
-            out += [(cids[x], cids[y]) for y in left[near].tolist()]
-            front += left[near].tolist()
-            left = left[~near]
+            found, got = index.near(x)
+            found = found[left[found] & (got >= similarity)]
+            out += [(cids[x], cids[y]) for y in found.tolist()]
+            front += found.tolist()
+            left[found] = False
     return out
 
 
@@ -290,22 +306,24 @@ def _sift(cids: list[int], sketches: list[np.ndarray], similarity: float) -> tup
     links join. With over four of them a member it stops: all shingles of the ``whole`` set are to be compared."""
     full = np.array([len(x) >= SKETCH for x in sketches])
     index = Sketches(sketches)
-    part, left, out, doubts = np.zeros(len(cids), np.int64), np.arange(len(cids)), [], []
-    while len(left):
-        front, left = [int(left[0])], left[1:]
-        part[front[0]] = own = front[0]
-        while front and len(left):
+    part, left, out, doubts = np.zeros(len(cids), np.int64), np.ones(len(cids), bool), [], []
+    for own in range(len(cids)):
+        if not left[own]:
+            continue
+        front, left[own], part[own] = [own], False, own
+        while front:
             x = front.pop()
-            got, rough = index.similarities(x)[left], full[left] | full[x]
+            found, got = index.near(x)
+            found, got = found[left[found]], got[left[found]]
+            rough = full[found] | full[x]
             near = got >= np.where(rough, similarity + SLACK, similarity)
-            doubt = left[~near & rough & (got >= similarity - SLACK)]
-            doubts += [(x, y) for y in doubt.tolist()]
+            doubts += [(x, y) for y in found[~near & rough & (got >= similarity - SLACK)].tolist()]
             if len(doubts) > 4 * len(cids):
                 return out, [], True
-            part[left[near]] = own
-            out += [(cids[x], cids[y]) for y in left[near].tolist()]
-            front += left[near].tolist()
-            left = left[~near]
+            found = found[near]
+            part[found], left[found] = own, False
+            out += [(cids[x], cids[y]) for y in found.tolist()]
+            front += found.tolist()
     return out, [(cids[x], cids[y]) for x, y in doubts if part[x] != part[y]], False
 
 
@@ -431,13 +449,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id; columns stay as they are. Of rows that repeat that
-    id and its text one stays. A group of null ids alone keeps one row of each text."""
+    id and its text one stays. A group of null ids alone keeps one row of each text. Ids may be of any type that has an order;
+    other columns may have any name."""
     groups = similar_groups(docs, id_col, text_col, width, similarity)
+    i, h = free_names(docs, "__i", "__h")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    go = groups.filter(~F.col("id").eqNullSafe(F.col("group"))).select(name("id").alias("__i"), F.col("h").alias("__h")).distinct()
-    keyed = docs.withColumn("__i", name(id_col)).withColumn("__h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    go = groups.filter(~F.col("id").eqNullSafe(F.col("group"))).select(name("id").alias(i), F.col("h").alias(h)).distinct()
+    keyed = docs.withColumn(i, name(id_col)).withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     # The repeats of a row go by the keys of the join, so texts move once.
-    return keyed.join(go, ["__i", "__h"], "left_anti").dropDuplicates(["__i", "__h"]).select(*docs.columns)
+    return keyed.join(go, [i, h], "left_anti").dropDuplicates([i, h]).select(*docs.columns)
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
