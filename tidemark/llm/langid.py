@@ -107,15 +107,15 @@ class LanguageFilters:
         return pred, score, lead, grams
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, key_cols: tuple[str, ...] = ("doc_id",), fit_docs: int = FIT_DOCS, fit_grams: int = FIT_GRAMS) -> LanguageFilters:
-    """Filters learnt from about ``fit_docs`` labelled whole texts of each language, picked by a hash of key and text.
+def learn_grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, key_cols: tuple[str, ...] = ("doc_id",), fit_docs: int = FIT_DOCS, fit_grams: int = FIT_GRAMS) -> dict[str, np.ndarray]:
+    """N-grams by language, learnt from about ``fit_docs`` labelled whole texts of each, picked by a hash of key and text.
 
     Rows without label or text teach nothing. What reaches the driver is at most ``fit_grams`` n-grams a language.
     """
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if learn is None else learn))
     counts = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return LanguageFilters.build({})
+        return {}
     limit = F.lit(0)
     for lang, n in counts.items():
         limit = F.when(F.col(lang_col) == lang, int(min(1.0, fit_docs / n) * (1 << 30))).otherwise(limit)
@@ -134,8 +134,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", learn:
     table["rate"] = table["n"] / table.groupby("lang")["n"].transform("sum")
     table["top"] = table.groupby("gram")["rate"].transform("max")
     kept = table[table["rate"] >= MIN_SHARE * table["top"]]
-    grams = {lang: kept.loc[kept["lang"] == lang, "gram"].to_numpy(np.uint32) for lang in sorted(counts, key=lambda x: (-counts[x], x))}
-    return LanguageFilters.build(grams)
+    return {lang: kept.loc[kept["lang"] == lang, "gram"].to_numpy(np.uint32) for lang in sorted(counts, key=lambda x: (-counts[x], x))}
+
+
+def fit(docs: DataFrame, **how) -> LanguageFilters:
+    """Filters of the n-grams that ``learn_grams`` finds; takes what that takes."""
+    return LanguageFilters.build(learn_grams(docs, **how))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,16 +159,26 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
     return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
 
 
-def keep_identified(docs: DataFrame, filters: LanguageFilters, min_score: float = 0.3, min_grams: int = 20, text_col: str = "text") -> DataFrame:
-    """Documents whose language is recognised; columns stay as they are. Rejected are ``und`` and texts of ``min_grams`` or
-    more n-grams of which the best language knows a share below ``min_score``."""
+def highest_share(score: float, n: int, sure: float = 2.0) -> float:
+    """The largest share that a text's language may know in truth (Wilson's upper bound at ``sure`` deviations), when it knows
+    ``score`` of the text's ``n`` n-grams; 1 without any. One rule for all sizes: the fewer n-grams, the less they prove."""
+    z = sure * sure
+    return (score + z / (2 * n) + sure * (score * (1 - score) / n + z / (4 * n * n)) ** 0.5) / (1 + z / n) if n else 1.0
+
+
+def keep_identified(docs: DataFrame, filters: LanguageFilters, min_score: float = 0.3, sure: float = 2.0, text_col: str = "text") -> DataFrame:
+    """Documents whose language is recognised; columns stay as they are. Rejected are ``und`` and texts of which the best
+    language knows a share that is surely (``highest_share``) below ``min_score``.
+
+    Null texts and texts without a letter are ``und``; null or repeated ids, and columns of any name, change nothing. An empty
+    table stays empty."""
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def keep(batches):
         for batch in batches:
             pred, score, _, n = shared.value.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([p != UNKNOWN and (s >= min_score or k < min_grams) for p, s, k in zip(pred, score, n)], pa.bool_()))
+            yield batch.filter(pa.array([p != UNKNOWN and highest_share(s, k, sure) >= min_score for p, s, k in zip(pred, score, n.tolist())], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
