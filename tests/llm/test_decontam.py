@@ -10,11 +10,9 @@ from tidemark.llm.decontam import Searcher, WuManber, decontamination_report, dr
 def brute(docs, items, k=13):
     pats = {}
     for i, t in items:
-        if i is None or t is None:
-            continue
-        w = words_of(t.encode())
+        w = words_of((t or "").encode())
         for j in range(max(1, len(w) - k + 1) if w else 0):
-            pats.setdefault(tuple(w[j : j + k]), set()).add(str(i))
+            pats.setdefault(tuple(w[j : j + k]), set()).update([] if i is None else [str(i)])
     out = []
     for i, t in docs:
         w = words_of((t or "").encode())
@@ -62,6 +60,9 @@ def test_several_passes_find_the_same(spark, monkeypatch):
     passes = D.benchmark_passes
     monkeypatch.setattr(D, "benchmark_passes", lambda *a, **k: passes(*a, **{**k, "pass_bytes": 900}))
     assert sorted(map(str, drop_contaminated(d, b).collect())) == one
+    named = d.selectExpr("doc_id", "text", "doc_id AS __key", "text AS __KEY_", "1 AS id", "2 AS k")
+    kept = drop_contaminated(named, b)
+    assert kept.columns == named.columns and kept.filter("NOT __key <=> doc_id OR NOT __KEY_ <=> text").count() == 0 and kept.count() == len(one)
 
 
 @settings(max_examples=80, deadline=None)

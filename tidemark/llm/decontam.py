@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WORD_BYTES, map_arrow, utf8_views
+from tidemark.llm._common import WORD_BYTES, free_names, map_arrow, utf8_views
 
 #: Log2 of the entries of a shift table, and the bytes of a shift block.
 TABLE_BITS, BLOCK = 22, 8
@@ -142,13 +142,12 @@ class Searcher:
         return out
 
 
-def benchmark_passes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", pass_bytes: int = PASS_BYTES, unnamed: bool = False) -> list[list[tuple[str | None, bytes]]]:
-    """The stated query set in blocks of at most ``pass_bytes`` (one item at least); each block is one search pass. Items
-    without an id are among them if ``unnamed``."""
+def benchmark_passes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", pass_bytes: int = PASS_BYTES) -> list[list[tuple[str | None, bytes]]]:
+    """The stated query set in blocks of at most ``pass_bytes`` (one item at least); each block is one search pass."""
     blocks: list[list[tuple[str | None, bytes]]] = []
     size = pass_bytes
     for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        if text is None or item is None and not unnamed:
+        if text is None:
             continue
         if size >= pass_bytes:
             blocks.append([])
@@ -162,16 +161,16 @@ def contaminated(n_hit, n_words, share: int = 20):
     return n_hit > 0 and share * n_hit >= n_words
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, pass_bytes: int = PASS_BYTES, unnamed: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Benchmark passages inside documents: ``id, n_words, ranges array<struct<from,to>>, items array<string>``.
 
     Words: A-Z lower-cased, then runs of ASCII letters, digits and characters beyond ASCII. A window is ``window``
     consecutive words of an item, or the whole of a shorter item. ``ranges`` are the merged word ranges inside any
     occurrence, ``items`` the sorted ids of items with an occurrence.
 
-    Nulls: a null text has no words; benchmark items with null text are not searched, those with null id only if
-    ``unnamed`` (they give ranges and no items); a null document id stays null. Empty tables give no rows (documents) or no hits (benchmark). Repeated rows each keep their row. Other columns
-    are ignored. A benchmark above ``pass_bytes`` is searched in several passes whose hits are merged per row.
+    Nulls: a null text has no words; benchmark items with null text are not searched, those with null id give ranges and no
+    items; a null document id stays null. Empty tables give no rows (documents) or no hits (benchmark). Repeated rows each
+    keep their row. Other columns, of any name, are ignored. A benchmark above ``pass_bytes`` is searched in several passes whose hits are merged per row.
     """
     schema = "id {t}, n_words long, ranges array<struct<`from`:int,`to`:int>>, items array<string>".format(t=docs.schema[id_col].dataType.simpleString())
     arrow_ranges = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
@@ -190,7 +189,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         return search
 
-    passes = benchmark_passes(benchmark, text_col="text", pass_bytes=pass_bytes, unnamed=unnamed)
+    passes = benchmark_passes(benchmark, text_col="text", pass_bytes=pass_bytes)
     if len(passes) <= 1:
         return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), one(passes[0] if passes else []), schema)
     # Several passes: rows are told apart by id and text hash; equal rows have equal hits, so each keeps a place of its own.
@@ -229,14 +228,14 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ).select("*", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, unnamed: bool = False) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
     """Documents without those that are contaminated; columns stay as they are.
 
     Nulls, empty tables and repeated rows: as ``find_contamination``. One pass over the documents without a shuffle; a
     benchmark of several passes is judged on the merged hits, joined by id and text hash.
     """
     at = docs.columns.index(text_col)
-    passes = benchmark_passes(benchmark, unnamed=unnamed)
+    passes = benchmark_passes(benchmark)
     if not passes:
         return docs
     if len(passes) == 1:
@@ -249,7 +248,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
         return docs.mapInArrow(keep, docs.schema)
     key = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"))
-    found = find_contamination(docs.select(key.alias("k"), text_col), benchmark, "k", text_col, window, unnamed=unnamed)
+    found = find_contamination(docs.select(key.alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text", window)
     n_hit = F.aggregate("ranges", F.lit(0), lambda a, r: a + r["to"] - r["from"])
-    bad = found.filter((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).select(F.to_json("id").alias("__bad"))
-    return docs.withColumn("__key", F.to_json(key)).join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")
+    (name,) = free_names(docs, "__key")
+    bad = found.filter((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).select(F.to_json("id").alias(name)).distinct()
+    return docs.withColumn(name, F.to_json(key)).join(bad, name, "left_anti").select(*docs.columns)
