@@ -39,3 +39,10 @@ def test_next_and_edges(spark):
     order = with_next(odd.select("doc_id", "text"), "doc_id", "text").collect()
     assert {(r.doc_id, r.text): r.next.text for r in order} == {(5, "a"): "b", (5, "b"): None, (None, None): "n", (None, "n"): "a"}
     assert len({tuple(r.fp) for r in fingerprints(spark.createDataFrame([(1, "q"), (2, "q"), (3, "z")], "doc_id long, text string")).collect()}) == 2
+
+
+def test_ids_are_integers(spark):
+    import pytest
+
+    with pytest.raises(TypeError):
+        fingerprint_report(spark.createDataFrame([("a", "x")], "doc_id string, text string"))

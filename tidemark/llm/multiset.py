@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm._common import need_integral
+
 LANES, CELLS = 16, 64
 LANE_MASK, CELL_MASK = 0xFFFFFFFF, 0xFFFF
 WIDTH = 1 + LANES + CELLS
@@ -89,8 +91,9 @@ def with_next(rows: DataFrame, id_col: str, *carried: str) -> DataFrame:
 
     Rows move once, to range buckets of ids; the first row of each bucket also goes to the end of the bucket before it, so
     that no row has to be looked up elsewhere. Bucket borders and firsts, a few numbers for each partition, are all that the
-    driver sees. Null ids come last; ties are in order of the carried columns.
+    driver sees. Ids are integers, or a TypeError is raised; null ids come last; ties are in order of the carried columns.
     """
+    need_integral(rows, id_col)
     spark = rows.sparkSession
     o = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -121,7 +124,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """Per document: its fingerprint, that of its edited text, and how alike it is to the edited text and the next document."""
+    """Per document: its fingerprint, that of its edited text, and how alike it is to the edited text and the next document.
+
+    Ids are integers (null ones come last). Null texts are empty; repeated rows each keep their row; an empty table gives no
+    rows; other columns are not looked at."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
     both = with_next(rows, "doc_id", "text", "fp").withColumn("changed", edited(F.col("text"), F.col("next.text")))
     both = both.withColumn("efp", fingerprint(F.col("changed")))
