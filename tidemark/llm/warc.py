@@ -16,16 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed values of the format: the version lines a record can begin with, a gzip member's first bytes, the revisit profile.
-VERSION_LINES = (b"WARC/1.0\r\n", b"WARC/1.1\r\n")
+#: Fixed values of the format: a gzip member's first bytes, the revisit profile, the form of a date.
 GZIP_MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Smaller payloads are never turned into revisits.
 MIN_REVISIT_BYTES = 100
 #: Bytes of a chunk, of whole records (one at least).
 CHUNK_BYTES = 4 << 20
+#: Bytes in which the headers of a record have to end, and a name or comment in the head of a gzip member.
+HEADER_BYTES, NAME_BYTES = 1 << 20, 1 << 14
+#: Records of which nothing says when they were captured bear this date.
+NO_DATE = "1970-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-_LENGTH = re.compile(rb"\r\n[Cc]ontent-[Ll]ength: *(\d+)\r\n")
 RECORD_SCHEMA = "archive long, chunk long, offset long, length long, kind string, reason string, record_type string, page_id string, url string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 _ARROW = pa.schema(
     [("archive", pa.int64()), ("chunk", pa.int64()), ("offset", pa.int64()), ("length", pa.int64())]
@@ -43,13 +45,15 @@ def _plain_value(x: str) -> str:
     return re.sub(r"(?:%[0-9A-F]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode(), x)
 
 
-def build_record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object | None) -> bytes:
-    """One record in its own gzip member. A revisit carries no payload, but the length and digest of the full one."""
+def build_record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object | None, date: str = NO_DATE) -> bytes:
+    """One record in its own gzip member. A revisit carries no payload, but the length and digest of the full one. ``date`` is
+    the time of capture in UTC, as the format writes it."""
     block = b"" if refers_to is not None else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else _header_value(str(page_id))}>",
+        f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {_header_value(url)}"] if url is not None else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{digest if refers_to is None else hashlib.sha256(b'').hexdigest()}",
@@ -61,8 +65,8 @@ def build_record(page_id: object, url: str | None, payload: bytes, digest: str,
     return c.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + c.flush()
 
 
-def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Archive chunks with one record for each row of ``pages``.
+def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT_BYTES, date: str = NO_DATE) -> DataFrame:
+    """Archive chunks with one record for each row of ``pages``, captured at ``date``.
 
     Of rows with equal payloads of ``min_revisit`` bytes or more, the one with the smallest id is a response and the
     others are revisits of it. Nulls: a null payload is empty; a null id sorts after all others (without any id in its
@@ -88,7 +92,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             ids, urls, bodies, digests, firsts, leads = (batch.column(n).to_pylist() for n in ("id", "url", "body", "digest", "first", "lead"))
             out: list[bytes] = []
             for i, u, b, d, f, lead in zip(ids, urls, bodies, digests, firsts, leads):
-                data.append(build_record(i, u, b, d, None if f is None or lead else f))
+                data.append(build_record(i, u, b, d, None if f is None or lead else f, date))
                 size += len(data[-1])
                 if size >= CHUNK_BYTES:
                     out.append(b"".join(data))
@@ -110,24 +114,42 @@ class Found:
     block: bytes = b""
 
 
-def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
-    """The record at ``at`` of uncompressed bytes: its end, headers and block; or why it is none."""
+def _headers(data: bytes, at: int) -> tuple[int, int, dict[str, str]] | str:
+    """The headers at ``at``: where their block begins and ends, and their fields under lower-case names; or why they are
+    none. White space around a value is not part of it, and a line that begins with some continues the one before."""
     if not _VERSION.match(data, at):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", at)
+    stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
     if stop < 0:
         return "headers not ended"
-    m = _LENGTH.search(data, at, stop + 2)
-    if not m:
-        return "no content length"
-    begin, end = stop + 4, stop + 4 + int(m[1])
-    if data[end : end + 4] != b"\r\n\r\n":
-        return "content length does not fit"
+    headers: dict[str, str] = {}
+    name = None
     try:
-        pairs = [x.split(": ", 1) for x in data[at:stop].decode().split("\r\n")[1:]]
-        headers = {k.lower(): v for k, v in pairs}
+        for line in data[at:stop].decode().split("\r\n")[1:]:
+            if line[:1] in (" ", "\t") and name:
+                headers[name] = f"{headers[name]} {line.strip(' \t')}"
+                continue
+            name, colon, value = line.partition(":")
+            name = name.strip(" \t").lower()
+            if not colon or not name:
+                return "headers not readable"
+            headers[name] = value.strip(" \t")
     except ValueError:
         return "headers not readable"
+    length = headers.get("content-length", "")
+    if not length.isascii() or not length.isdigit():
+        return "no content length"
+    return stop + 4, stop + 4 + int(length), headers
+
+
+def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
+    """The record at ``at`` of uncompressed bytes: its end, headers and block; or why it is none."""
+    got = _headers(data, at)
+    if isinstance(got, str):
+        return got
+    begin, end, headers = got
+    if data[end : end + 4] != b"\r\n\r\n":
+        return "content length does not fit"
     block = data[begin:end]
     want = headers.get("warc-block-digest", "")
     if want.startswith("sha256:") and hashlib.sha256(block).hexdigest() != want[7:]:
@@ -135,17 +157,52 @@ def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     return end + 4, headers, block
 
 
+def _gzip_head(data: bytes, at: int) -> int | None:
+    """Where the deflated bytes of a gzip member begin, if its head is sound."""
+    if len(data) < at + 18 or data[at + 3] & 0xE0:
+        return None
+    flags, to = data[at + 3], at + 10
+    if flags & 4:
+        to += 2 + int.from_bytes(data[to : to + 2], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            to = data.find(b"\0", to, to + NAME_BYTES) + 1
+            if not to:
+                return None
+    return to + 2 * bool(flags & 2)
+
+
 def _member(data: bytes, at: int) -> tuple[int, bytes] | str:
-    """The gzip member at ``at``: its end and content; or why it is none. zlib checks length and CRC."""
+    """The gzip member at ``at``: its end and content; or why it is none. zlib checks length and CRC.
+
+    No more is inflated than the headers and then the block that they announce. Input is fed in steps that grow, so that a
+    false beginning costs little.
+    """
+    head = _gzip_head(data, at)
+    if head is None or head >= len(data):
+        return "member not readable (head)"
     d = zlib.decompressobj(31)
-    view, out, to = memoryview(data), [], at
+    view, out, to, step, most = memoryview(data), bytearray(), at, head - at + 512, None
     try:
         while not d.eof and to < len(data):
-            out.append(d.decompress(view[to : to + 65536]))
-            to = min(to + 65536, len(data))
+            feed = view[to : to + step]
+            to, step = to + len(feed), min(2 * step, 1 << 20)
+            while True:
+                room = (most if most is not None else HEADER_BYTES) + 1 - len(out)
+                out += d.decompress(feed, max(1, min(room, 1 << 20)))
+                if most is None and (b"\r\n\r\n" in out or len(out) > HEADER_BYTES or d.eof):
+                    got = _headers(bytes(out[: HEADER_BYTES + 4]), 0)
+                    if isinstance(got, str):
+                        return got
+                    most = got[1] + 4
+                if most is not None and len(out) > most:
+                    return "trailing bytes in member"
+                if d.eof or not d.unconsumed_tail:
+                    break
+                feed = d.unconsumed_tail
     except zlib.error as e:
         return f"member not readable ({str(e).split(':')[0]})"
-    return (to - len(d.unused_data), b"".join(out)) if d.eof else "member not ended"
+    return (to - len(d.unused_data), bytes(out)) if d.eof else "member not ended"
 
 
 def salvage(data: bytes) -> Iterator[Found]:
@@ -157,6 +214,19 @@ def salvage(data: bytes) -> Iterator[Found]:
     """
     at, gap, why = 0, None, ""
     n = len(data)
+    # Where the next member and the next version line may begin; each is looked for once it has been passed.
+    member, version = -1, -1
+
+    def after(i: int) -> int:
+        nonlocal member, version
+        if member < i:
+            k = data.find(GZIP_MAGIC, i)
+            member = k if k >= 0 else n
+        if version < i:
+            m = _VERSION.search(data, i)
+            version = m.start() if m else n
+        return min(member, version)
+
     while at < n:
         got: object
         if data.startswith(GZIP_MAGIC, at):
@@ -164,14 +234,13 @@ def salvage(data: bytes) -> Iterator[Found]:
             if not isinstance(got, str):
                 end, plain = got
                 inner = _parse(plain, 0)
-                got = inner if isinstance(inner, str) else ("trailing bytes in member" if inner[0] != len(plain) else (end, inner[1], inner[2]))
+                got = inner if isinstance(inner, str) else (end, inner[1], inner[2])
         else:
             got = _parse(data, at)
         if isinstance(got, str):
             if gap is None:
                 gap, why = at, got
-            nexts = [x for x in (data.find(GZIP_MAGIC, at + 1), *(data.find(v, at + 1) for v in VERSION_LINES)) if x >= 0]
-            at = min(nexts, default=n)
+            at = after(at + 1)
             continue
         if gap is not None:
             yield Found(gap, at - gap, why)
@@ -217,12 +286,14 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
-    """Real WARC files as archive chunks (a file is a chunk; write files of bounded size)."""
+    """Real WARC files as archive chunks. A file is a chunk and is read as one value, so files have to be of bounded size (a
+    usual crawl's are about 1 GB; above 2 GB Spark refuses them)."""
     return spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("archive"), F.lit(0).cast("long").alias("chunk"), F.col("content").alias("data"))
 
 
 def page_catalogue(pages: DataFrame) -> DataFrame:
-    """Write an archive of ``pages`` in the shared folder, read it back, and list its records by page."""
+    """Write an archive of ``pages`` in the shared folder, read it back, and list its records by page. Nulls, repeated rows and
+    empty tables as ``write_warc``; columns beyond ``page_id``, ``url`` and ``html`` are ignored."""
     from tidemark.llm._common import materialize
 
     back = read_warc(materialize(write_warc(pages), "warc"))
