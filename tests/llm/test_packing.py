@@ -79,3 +79,15 @@ def test_columns_are_optimal_on_a_known_case():
 @given(st.lists(st.sampled_from([*"ab'sÉéßΣςİ\n\t .,!?1²é日 ", "<|endoftext|>", "<|startoftext|>", "word", "it's", "…", "Ω"]), max_size=25).map("".join))
 def test_ids_equal_the_library(text):
     assert np.frombuffer(OWN.encode(text), "<u4").tolist() == LIB.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    import pytest
+
+    spec = json.load(open(PATH))
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"post_processor": {"type": "BertProcessing"}}):
+        (tmp_path / "t.json").write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError):
+            WordEncoder(str(tmp_path / "t.json"))

@@ -9,6 +9,7 @@ rest is laid end to end and cut where sequences end.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,15 @@ SALTS = 64
 MAX_STEPS = 6000
 #: Words, and word pieces, that a worker keeps: as many again stay from before, so that frequent ones are never lost.
 WORDS, PIECES = 120_000, 100_000
+#: How the tokenizer's file must say that texts are normalised and split.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Letters whose normal form and lower case are plain, then marks: such words need no normaliser.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|\"#$%&()*+\-/=@\[\]^_`{}~]*)")
 
@@ -37,10 +47,15 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|\"#$%&()*+\-/=@\[\]^_`{
 class WordEncoder:
     """Ids of texts under a word-level BPE file whose pieces never reach across a space or a line feed, by cached words.
 
-    Plain words go to the model by themselves; all others through the whole tokenizer. The ids are those of the library.
+    Plain words go to the model by themselves; all others through the whole tokenizer. The ids are those of the library. A
+    file that normalises or splits otherwise is refused.
     """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if (spec.get("normalizer"), spec.get("pre_tokenizer"), spec.get("post_processor")) != (NORMALIZER, PRE_TOKENIZER, None) or (spec["model"].get("type"), spec["model"].get("ignore_merges", False)) != ("BPE", False):
+            raise ValueError(f"{path}: this tokenizer normalises or splits texts in another way")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -157,12 +172,14 @@ def generate_columns(width: np.ndarray, demand: np.ndarray, capacity: int, max_s
 
 @dataclass(frozen=True)
 class Plan:
-    """For each bin: slots up to which its patterns reach, their first sequence and copies a sequence; sequences used."""
+    """For each bin: slots up to which its patterns reach, their first sequence and copies a sequence; sequences used, and
+    items that no pattern has room for."""
 
     ends: dict[int, np.ndarray]
     first: dict[int, np.ndarray]
     copies: dict[int, np.ndarray]
     sequences: int
+    loose: int
 
     def place(self, bin_: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Sequence of each (bin, rank), -1 if no pattern has room for it."""
@@ -183,7 +200,7 @@ def plan_patterns(demand: dict[int, int], capacity: int) -> Plan:
     """Patterns for a histogram of widths; each is used a whole number of times, rounded down, never beyond the demand."""
     width = np.array(sorted(demand), np.int64)
     if not len(width):
-        return Plan({}, {}, {}, 0)
+        return Plan({}, {}, {}, 0, 0)
     need = np.array([demand[w] for w in width.tolist()], np.int64)
     patterns, x = generate_columns(width, need.astype(float), capacity)
     times = np.floor(x + 1e-6).astype(np.int64)
@@ -201,7 +218,7 @@ def plan_patterns(demand: dict[int, int], capacity: int) -> Plan:
         mine = [(p[k], t, at) for p, t, at in used if p[k]]
         if mine:
             ends[w], first[w], copies[w] = np.cumsum([c * t for c, t, _ in mine]), np.array([at for _, _, at in mine]), np.array([c for c, _, _ in mine])
-    return Plan(ends, first, copies, total)
+    return Plan(ends, first, copies, total, int(left.sum()))
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, quantum: int = QUANTUM) -> DataFrame:
@@ -223,12 +240,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 ids = document_ids(tokenizer, text, end_id)
                 n.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[a : a + 4 * capacity]) for a in range(0, len(ids), 4 * capacity)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["id", "h", "n", "crcs"])
+            # The place in the batch counts too, so that rows that repeat each other are ranked in many tasks.
+            salt = (batch.column(1).to_numpy().view(np.uint64) + np.arange(len(n), dtype=np.uint64)) % np.uint64(SALTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(salt.astype(np.int32))], ["id", "h", "n", "crcs", "salt"])
 
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    base = materialize(keyed.mapInArrow(tokenise, f"id {kind}, h long, n long, crcs array<bigint>"), "packing-tokens")
+    base = materialize(keyed.mapInArrow(tokenise, f"id {kind}, h long, n long, crcs array<bigint>, salt int"), "packing-tokens")
     rest = F.col("n") % capacity
-    cells = base.select("*", F.ceil(rest / quantum).cast("int").alias("bin"), F.floor(F.col("n") / capacity).alias("full"), F.pmod(F.xxhash64("id", "h"), F.lit(SALTS)).cast("int").alias("salt"))
+    cells = base.select("*", F.ceil(rest / quantum).cast("int").alias("bin"), F.floor(F.col("n") / capacity).alias("full"))
     # At most (capacity / quantum + 1) * SALTS rows, whatever the input.
     sums = sorted((r["bin"], r["salt"], r["c"], r["f"]) for r in cells.groupBy("bin", "salt").agg(F.count("*").alias("c"), F.sum("full").alias("f")).collect())
     rank0, full0, demand, full = {}, {}, {}, 0
@@ -238,6 +257,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         full += f
     demand.pop(0, None)
     plan = plan_patterns(demand, capacity // quantum if capacity % quantum == 0 else units)
+    if plan.loose > len(demand) * units:
+        raise RuntimeError("more items are left than one use of every pattern holds")
     w = Window.partitionBy("bin", "salt").orderBy("id", "h")
     ranked = cells.select("*", F.row_number().over(w).alias("rn"), F.sum("full").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("fb"))
 
