@@ -1,11 +1,14 @@
+import json
 import random
+import zlib
 
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm.tokencount import count_at, count_tokens, counter, longest_within, pack_counts, prefix_tables
+from tidemark.llm.queries import QUERIES
+from tidemark.llm.tokencount import PrefixCounter, answer, count_at, count_tokens, counter, longest_within, prefix_tables
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIB = Tokenizer.from_file(PATH)
@@ -19,12 +22,11 @@ def check(text):
     c = counter(PATH)
     want = n_lib([text[:k] for k in range(len(text) + 1)])
     assert c.prefix_counts(text) == want, text
-    assert c.total(text) == want[-1]
-    packed = pack_counts(want)
+    packed = zlib.compress(c.table(text))
     for limit in {0, 1, 2, want[-1] // 2, want[-1] - 1, want[-1], want[-1] + 3}:
         if limit >= 0:
             longest = max(k for k, n in enumerate(want) if n <= limit)
-            assert c.cut(text, limit) == longest == longest_within(packed, limit), (text, limit)
+            assert longest == longest_within(packed, limit), (text, limit)
     assert count_at(packed, len(text) // 2) == want[len(text) // 2]
 
 
@@ -52,3 +54,29 @@ def test_query_edges(spark):
     assert count_tokens(df.limit(0), PATH).count() == 0
     t = {r.id: r.prefixes for r in prefix_tables(df.filter("doc_id < 4"), PATH).collect()}
     assert count_at(t[1], 5) == n_lib(["hello"])[0] and count_at(t[2], 9) == 0
+
+
+def test_query_equals_the_library_on_the_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = dict(zip([r.doc_id for r in docs], n_lib([r.text or "" for r in docs])))
+    got = QUERIES["op8_token_counts"](spark, sf).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in got} == {r.doc_id: (len((r.text or "").encode()), want[r.doc_id], want[r.doc_id] > 1024) for r in docs}
+    assert len(got) == len(docs)
+
+
+def test_stored_tables_answer_any_limit(spark):
+    rows = [(k, " ".join(f"word{j * k}" for j in range(k))) for k in range(40)]
+    tables = prefix_tables(spark.createDataFrame(rows, "doc_id long, text string"), PATH)
+    for limit in (0, 1, 17):
+        for r in answer(tables, limit).collect():
+            n = n_lib([rows[r.id][1][:k] for k in range(len(rows[r.id][1]) + 1)])
+            assert r.n_tokens == n[-1] and r.over_limit == (n[-1] > limit) and r.fit_chars == max(k for k, x in enumerate(n) if x <= limit)
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    spec = json.load(open(PATH))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**spec["model"], "type": "WordPiece"}}):
+        (tmp_path / "t.json").write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError):
+            PrefixCounter(str(tmp_path / "t.json"))

@@ -3,7 +3,8 @@
 For a byte-level BPE vocabulary the last token of the encoding of every prefix is unique: it is the one token that ends the
 prefix and may stand after the last token of what remains. So ``count[i] = count[i - len(last)] + 1`` gives the exact count
 at every prefix in one pass, and questions on truncation and budgets are answered from the stored counts without encoding
-anything again. Counts are kept per pre-token (the pieces between which merges never happen) and shared by all texts.
+anything again. What each prefix of a pre-token (merges never cross their borders) adds is worked out once for each
+pre-token and shared by all texts; a text's table is put together from these, and every answer is read off the table.
 """
 
 from __future__ import annotations
@@ -19,14 +20,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import map_arrow
+from tidemark.llm._common import map_arrow, materialize
 
+#: How the tokenizer's file must say that texts are split, with no normaliser before it.
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 #: Fixed value: the characters that the tokenizer's split pattern takes as white space, and that pattern.
 _WS = r"\t-\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_SPACES = regex.compile(rf"[{_WS}]{{2}}")
 _SPACE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Pre-tokens (of up to so many characters) whose counts a worker keeps; beyond it, the older half is dropped.
-CACHE, CACHE_CHARS = 800_000, 64
+CACHE, CACHE_CHARS = 500_000, 64
+_CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -42,6 +47,9 @@ class PrefixCounter:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        kinds = [spec.get(k) for k in ("normalizer", "pre_tokenizer", "post_processor")], spec["model"].get("type"), spec["model"].get("ignore_merges", False)
+        if kinds != ([None, PRE_TOKENIZER, None], "BPE", False) or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", [])):
+            raise ValueError(f"{path}: this tokenizer normalises or splits texts in another way")
         to = _byte_of_char()
         plain = lambda t: bytes(to[c] for c in t)
         self.ranks = {}
@@ -52,7 +60,7 @@ class PrefixCounter:
         self.tokens = {t for t in tokens if len(t) == 1 or self._merge(t) == [t]}
         self.tails = {t[k:] for t in self.tokens for k in range(len(t))}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.totals: dict[str, int] = {}
+        self.gains: dict[str, bytes] = {}
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=lambda t: (-len(t), t))
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
@@ -93,16 +101,27 @@ class PrefixCounter:
             last.append(t)
         return count
 
-    def _total(self, word: str) -> int:
-        n = self.totals.get(word)
-        if n is None:
-            n = self.counts(word.encode("utf-8"))[-1]
+    def _gains(self, word: str) -> bytes:
+        """What each code point of a pre-token adds to the count, as signed bytes."""
+        got = self.gains.get(word)
+        if got is None:
+            c = self.counts(word.encode("utf-8"))
+            if word in _CONTRACTIONS:  # a prefix of it is split otherwise
+                at = [1, 2, c[-1]]
+            elif word.isascii():
+                at = c[1:]
+            else:
+                at = [c[k] for k in np.cumsum([len(ch.encode("utf-8")) for ch in word]).tolist()]
+            got = np.diff(np.array([0, *at])).astype(np.int8).tobytes()
             if len(word) <= CACHE_CHARS:
-                if len(self.totals) >= CACHE:
-                    for k in [*self.totals][: CACHE // 2]:
-                        del self.totals[k]
-                self.totals[word] = n
-        return n
+                if len(self.gains) >= CACHE:
+                    for k in [*self.gains][: CACHE // 2]:
+                        del self.gains[k]
+                self.gains[word] = got
+        return got
+
+    def _total(self, word: str) -> int:
+        return int(np.frombuffer(self._gains(word), np.int8).sum(dtype=np.int64))
 
     def _segments(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
@@ -115,66 +134,51 @@ class PrefixCounter:
         if at < len(text) or not text:
             yield text[at:], False
 
-    def pieces(self, text: str) -> Iterator[tuple[str, int, bool]]:
-        """(pre-token, its count, whether it is a special string) in order."""
-        for s, special in self._segments(text):
-            if special:
-                yield s, 1, True
-            else:
-                for m in _SPLIT.finditer(s):
-                    yield m[0], self._total(m[0]), False
-
-    def total(self, text: str) -> int:
-        """Count of the whole text: the last entry of its prefix counts."""
-        if self.special and self.special.search(text):
-            return sum(n for _, n, _ in self.pieces(text))
-        words = _SPLIT.findall(text)
-        try:
-            return sum(map(self.totals.__getitem__, words))
-        except KeyError:
-            return sum(map(self._total, words))
-
-    def _inside(self, before: str, word: str, special: bool) -> list[int]:
-        """What each prefix of a piece (from one code point to all) adds to the count before the piece.
-
-        ``before`` is the previous piece of the same segment. Three kinds of prefix split otherwise than the whole text: one
-        that ends a run of white space, one inside a contraction, one inside a special string.
+    def table(self, text: str) -> bytes:
+        """The prefix table of a text: what each code point adds to the count, as signed bytes.
+
+        Three kinds of prefix split otherwise than the whole text: one that ends inside a run of white space, one inside a
+        contraction (``_gains`` knows), one inside a special string. Texts without the first and last are put together from
+        the gains of their pre-tokens as they are.
         """
-        if special:
-            lead = self._total(before) if before else 0
-            return [*(sum(map(self._total, _SPLIT.findall(before + word[:k]))) - lead for k in range(1, len(word))), 1]
-        if word in ("'re", "'ve", "'ll"):
-            return [1, 2, self._total(word)]
-        c, at, out = self.counts(word.encode("utf-8")), 0, []
-        for ch in word:
-            at += len(ch.encode("utf-8"))
-            out.append(c[at])
-        if before and word[0] in _SPACE and before[-1] in _SPACE:
-            out[0] = self._total(before + word[0]) - self._total(before)
-        return out
+        if not _SPACES.search(text) and not (self.special and self.special.search(text)):
+            words = _SPLIT.findall(text)
+            try:
+                return b"".join(map(self.gains.__getitem__, words))
+            except KeyError:
+                return b"".join(map(self._gains, words))
+        out: list[bytes] = []
+        before, ahead = "", 0  # the piece before, and by how much the last prefix counts more than the pieces so far
+
+        def put(at: list[int] | np.ndarray, n: int) -> None:
+            nonlocal ahead
+            out.append(np.diff(np.asarray(at), prepend=ahead).astype(np.int8).tobytes())
+            ahead = int(at[-1]) - n
+
+        for segment, special in self._segments(text):
+            if special:
+                lead = self._total(before) if before else 0
+                put([*(sum(map(self._total, _SPLIT.findall(before + segment[:k]))) - lead for k in range(1, len(segment))), 1], 1)
+                before = ""
+                continue
+            before = ""
+            for word in _SPLIT.findall(segment):
+                gains = self._gains(word)
+                run = before and word[0] in _SPACE and before[-1] in _SPACE
+                if run or ahead:
+                    at = np.cumsum(np.frombuffer(gains, np.int8), dtype=np.int64)
+                    n = int(at[-1])
+                    if run:
+                        at[0] = self._total(before + word[0]) - self._total(before)
+                    put(at, n)
+                else:
+                    out.append(gains)
+                before = word
+        return b"".join(out)
 
     def prefix_counts(self, text: str) -> list[int]:
         """Exact token count of every prefix of the text by code points, entry 0 for the empty one."""
-        out, base, before = [0], 0, ""
-        for word, n, special in self.pieces(text):
-            out += [base + x for x in self._inside(before, word, special)]
-            base += n
-            before = "" if special else word
-        return out
-
-    def cut(self, text: str, limit: int) -> int:
-        """Code points of the longest prefix of at most ``limit`` tokens. Reads no further than the limit needs."""
-        best, base, chars, before, over = 0, 0, 0, "", 0
-        for word, n, special in self.pieces(text):
-            if base + n <= limit:
-                best = chars + len(word)
-            else:  # counts may sink by a token or so when a run of white space grows, so the next piece is looked at too
-                best = max([best, *(chars + j for j, x in enumerate(self._inside(before, word, special), 1) if base + x <= limit)])
-                over += 1
-                if over == 3:
-                    break
-            base, chars, before = base + n, chars + len(word), "" if special else word
-        return best
+        return [0, *np.cumsum(np.frombuffer(self.table(text), np.int8), dtype=np.int64).tolist()]
 
 
 @lru_cache(maxsize=4)
@@ -183,40 +187,50 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_bytes, n_tokens, over_limit, fit_chars`` of every whole text: its UTF-8 bytes, exact token count, whether that
-    is above ``limit``, and the code points of its longest prefix within ``limit``, both answered by prefix counts.
+def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_bytes, prefixes``: the UTF-8 bytes and the prefix table of every whole text, compressed.
 
-    ``tokenizer`` is the path of a byte-level BPE file, readable on every executor. A null text is empty. Ids may be null or
-    repeat; an empty table gives no rows; other columns are not looked at.
+    ``tokenizer`` is the path of a byte-level BPE file, readable on every executor; one that normalises or splits texts in
+    another way is refused. A null text is empty. Ids may be null or repeat; an empty table gives no rows; other columns are
+    not looked at.
     """
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, prefixes binary"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(tokenizer)
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        n = [c.total(x) for x in texts]
-        fit = [len(x) if k <= limit else c.cut(x, limit) for x, k in zip(texts, n)]
-        size = [len(x.encode("utf-8")) for x in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())], ["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+        out = [zlib.compress(c.table(x or ""), 1) for x in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "n_bytes", "prefixes"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")), run, schema)
 
 
-def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, prefixes``: the stored counts of every prefix, as differences of one byte, compressed. Nulls as ``count_tokens``."""
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, prefixes binary"
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n_bytes, n_tokens, over_limit, fit_chars`` of every whole text: its UTF-8 bytes, exact token count, whether that
+    is above ``limit``, and the code points of its longest prefix within ``limit``; all read off the stored prefix tables.
+    Nulls and other cases as ``prefix_tables``.
+    """
+    return answer(materialize(prefix_tables(docs, tokenizer, id_col, text_col), "prefixes"), limit)
+
+
+def answer(tables: DataFrame, limit: int) -> DataFrame:
+    """``id, n_bytes, n_tokens, over_limit, fit_chars`` from stored prefix tables alone, for any ``limit``."""
+    schema = f"id {tables.schema['id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        c = counter(tokenizer)
-        out = [pack_counts(c.prefix_counts(x or "")) for x in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "prefixes"])
+        n, fit = [], []
+        for prefixes in batch.column(2).to_pylist():
+            gains = np.frombuffer(zlib.decompress(prefixes), np.int8)
+            n.append(int(gains.sum(dtype=np.int64)))
+            fit.append(_longest(gains, limit))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())], ["id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
 
-    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
+    return map_arrow(tables.select("id", "n_bytes", "prefixes"), run, schema)
 
 
-def pack_counts(counts: list[int]) -> bytes:
-    return zlib.compress(np.diff(np.array(counts)).astype(np.int8).tobytes(), 1)
+def _longest(gains: np.ndarray, limit: int) -> int:
+    within = np.flatnonzero(np.cumsum(gains, dtype=np.int64) <= limit)
+    return int(within[-1]) + 1 if len(within) else 0
 
 
 def count_at(prefixes: bytes, chars: int) -> int:
@@ -226,5 +240,4 @@ def count_at(prefixes: bytes, chars: int) -> int:
 
 def longest_within(prefixes: bytes, limit: int) -> int:
     """Code points of the longest prefix of at most ``limit`` tokens, from a stored table."""
-    counts = np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(prefixes), np.int8), dtype=np.int64)])
-    return int(np.flatnonzero(counts <= limit)[-1])
+    return _longest(np.frombuffer(zlib.decompress(prefixes), np.int8), limit)
