@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 import tidemark.llm.substring as S
 from tidemark.llm.substring import remove_repeats, substring_report, super_kmers
 
@@ -64,6 +66,7 @@ def test_slices_and_blocks_change_nothing():
     for a, k in zip(begin.tolist(), n.tolist()):
         covered[a : a + k] += 1
     assert covered.max() == 1  # each window travels once
+    assert len({x[0] for x in whole}) > 10
 
 
 def test_stage_keeps_columns_and_white_space(spark):
@@ -74,3 +77,39 @@ def test_stage_keeps_columns_and_white_space(spark):
     assert remove_repeats(df).columns == df.columns
     assert got[1].text == rows[0][1] and got[1].n_chars == 5 and got[2].text == "x\ty\n z" and got[2].n_chars == 6
     assert 3 not in got and got[4].text is None and got[5].text == "" and got[6].text == "short\n " and got[6].n_chars == 7
+
+
+def test_hot_minimisers_are_taken_apart(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_LEAST", 20)
+    monkeypatch.setattr(S, "HOT_SHARE", 0.0)
+    rows = corpus(5)
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, n_words string").repartition(3)
+    assert 3 < len(S.hot_minimisers(df, "text", 13, 16)) < 500
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_report(df).collect())
+    assert got == brute(rows)
+
+
+def test_one_passage_in_very_many_texts(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(k, f"w{rng.random()} x{rng.random()} {passage} y{rng.random()}") for k in range(100_000)]
+    rows += [(None, f"n{k % 5000} {passage}") for k in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert len(S.hot_minimisers(df, "text", 13, 16)) > 0
+    ranges = S.repeated_ranges(df)
+    assert ranges.filter(f"id = {S.NULL_ID}").groupBy("tag").count().agg({"count": "max"}).first()[0] < 200
+    got = substring_report(df).groupBy("n_words", "n_removed").count().collect()
+    assert {(r.n_words, r.n_removed): r["count"] for r in got} == {(23, 0): 1, (23, 20): 99_999, (21, 20): 10_000}
+
+
+def test_names_and_ids(spark):
+    p = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, p, 5, "r", "t"), (2, "x " + p, 6, "r2", "t2"), (None, p + " z", 7, "r3", "t3"), (None, p + " z", 7, "r3", "t3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long, __ranges string, __TAG string")
+    got = sorted(map(tuple, remove_repeats(df).collect()), key=repr)
+    assert got == sorted([rows[0], (2, "x", 6, "r2", "t2"), (None, "z", 7, "r3", "t3"), (None, "z", 7, "r3", "t3")], key=repr)
+    for bad in ("string", "double"):
+        with pytest.raises(TypeError):
+            substring_report(df.select(df.doc_id.cast(bad).alias("doc_id"), "text"))
+    big = spark.createDataFrame([(1, " ".join(map(str, range(400)))), (2, " ".join(map(str, range(400))))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_report(big, window=300).collect()} == {1: 0, 2: 400}

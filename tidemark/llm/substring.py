@@ -5,7 +5,10 @@ pseudo-random order; consecutive windows that share their minimiser travel as on
 (about a sixth of the strings that single windows would need). A bucket sorts its windows, which puts equal ones side by
 side, so that each window's smallest document is known exactly.
 
-Buckets receive super-k-mers in compressed blocks: sorted document ids and word positions next to their packed strings.
+Buckets receive super-k-mers in compressed blocks: document ids and word positions next to their packed strings. Two things
+keep frequent passages from piling up in one bucket. Of equal strings in a block only those of the smallest document are
+sent; the others repeat it, whatever the other blocks hold. And minimisers that are hot by a count over all documents are
+taken apart: their windows travel one by one, to buckets by a hash of the whole window.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import partitions, utf8_views
+from tidemark.llm._common import free_names, materialize, need_integral, partitions, release, utf8_views
 
 WINDOW, MINIMISER = 13, 2
 #: Bytes of text that are cut at once, of packed strings that a task holds before it sends blocks, of a bucket that are
@@ -32,8 +36,11 @@ CHUNK_BYTES, HOLD_BYTES, SLICE_BYTES = 1 << 20, 32 << 20, 96 << 20
 MAX_WINDOWS = 200
 #: A null document id: after all others.
 NULL_ID = (1 << 63) - 1
+#: A minimiser is hot with this share of an average bucket's super-k-mers, and so many at least.
+HOT_SHARE, HOT_LEAST = 0.25, 4000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_HEAD = np.dtype([("doc", "<i8"), ("start", "<u4"), ("key", "<u4"), ("words", "u1")])
+#: Tags tell rows of null id apart, by their texts; others have tag 0.
+_HEAD = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("key", "<u4"), ("words", "<u2")])
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -84,28 +91,102 @@ def super_kmers(texts: list[bytes], window: int = WINDOW) -> tuple[list[bytes],
     return words, owner[at], inside[at], begins[at], runs, low[at]
 
 
+def _columns(h: np.ndarray) -> list[bytes]:
+    """Fields column by column, documents as differences."""
+    return [np.diff(h["doc"], prepend=0).astype("<i8").tobytes(), *(np.ascontiguousarray(h[c]).tobytes() for c in _HEAD.names[1:])]
+
+
 def _pack(heads: list[np.ndarray], strings: list[bytes]) -> bytes:
-    """One block: fields column by column, documents as differences, then the strings."""
+    """One block: heads and strings of what has to be solved, then heads of what is solved here: super-k-mers whose string a
+    smaller document has in this very block. In the latter the key is the CRC of the string."""
     h = np.concatenate(heads)
-    body = b"".join([np.diff(h["doc"], prepend=0).astype("<i8").tobytes(), h["start"].tobytes(), h["key"].tobytes(), h["words"].tobytes(), b"\n".join(strings)])
-    return len(h).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(body)
+    low: dict[bytes, int] = {}
+    docs = h["doc"].tolist()
+    for s, d in zip(strings, docs):
+        if d < low.setdefault(s, d):
+            low[s] = d
+    if len(low) < len(strings):
+        done = np.array([d > low[s] for s, d in zip(strings, docs)])
+        known, h = h[done], h[~done]
+        known["key"] = [zlib.crc32(s) for s, x in zip(strings, done.tolist()) if x]
+        strings = [s for s, x in zip(strings, done.tolist()) if not x]
+    else:
+        known = h[:0]
+    body = b"".join([*_columns(h), *_columns(known), b"\n".join(strings)])
+    return len(h).to_bytes(4, "little") + len(known).to_bytes(4, "little") + zstandard.ZstdCompressor(level=3).compress(body)
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    body = zstandard.ZstdDecompressor().decompress(block[8:])
+    at, parts = 0, []
+    for n in (int.from_bytes(block[:4], "little"), int.from_bytes(block[4:8], "little")):
+        h = np.zeros(n, _HEAD)
+        for name in _HEAD.names:
+            h[name] = np.frombuffer(body, _HEAD[name], n, at)
+            at += n * _HEAD[name].itemsize
+        h["doc"] = np.cumsum(h["doc"])
+        parts.append(h)
+    return *parts, body[at:]
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK_BYTES."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < CHUNK_BYTES):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, bytes]:
-    n = int.from_bytes(block[:4], "little")
-    body = zstandard.ZstdDecompressor().decompress(block[4:])
-    h = np.zeros(n, _HEAD)
-    at = 0
-    for name in ("doc", "start", "key", "words"):
-        size = n * _HEAD[name].itemsize
-        h[name] = np.frombuffer(body, _HEAD[name], n, at)
-        at += size
-    h["doc"] = np.cumsum(h["doc"])
-    return h, body[at:]
+def hot_minimisers(docs: DataFrame, text_col: str, window: int, buckets: int) -> np.ndarray:
+    """Ascending keys of the minimisers that are hot, from a count over all documents.
+
+    A task counts its own super-k-mers and names the keys that it has more than once, so a key is missed only below the
+    limit plus one for each task. No more than ``buckets / HOT_SHARE`` keys reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, total = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            keys, n = keys[n > 1], n[n > 1]
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+        for batch in batches:
+            texts = utf8_views(batch.column(0))
+            for a, b in _chunks(texts):
+                held.append(super_kmers(texts[a:b], window)[-1])
+                size += len(held[-1])
+                total += len(held[-1])
+                if size >= 4_000_000:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
+
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= HOT_LEAST))
+    counts = materialize(counts, "minimisers")
+    total = counts.filter("key IS NULL").agg(F.max("n")).first()[0] or 0
+    found = counts.filter(F.col("key").isNotNull() & (F.col("n") >= total * HOT_SHARE / buckets)).select("key").collect()
+    release(counts)
+    return np.sort(np.array([r["key"] for r in found], np.int64).view(np.uint64))
+
+
+def row_tag(id_col: str, text_col: str) -> Column:
+    """0 for rows with an id, 32 bits of a hash of the text for others."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0).cast("long"))
 
 
-def cut_documents(docs: DataFrame, id_col: str, text_col: str, window: int, buckets: int) -> DataFrame:
-    """``bucket, block``: the super-k-mers of all documents."""
+def cut_documents(docs: DataFrame, id_col: str, text_col: str, window: int, buckets: int, hot: np.ndarray) -> DataFrame:
+    """``bucket, block``: the super-k-mers of all documents; those of ``hot`` minimisers as single windows."""
+    if window + MAX_WINDOWS > 1 << 16:
+        raise ValueError("the window is too long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: dict[int, list[np.ndarray]] = {}
@@ -121,14 +202,23 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, window: int, buck
             held = 0
             return out
 
-        def cut(ids: list, texts: list[bytes]) -> None:
+        def cut(ids: list, tags: list, texts: list[bytes]) -> None:
             nonlocal held
             words, owner, inside, begin, n, key = super_kmers(texts, window)
             if not len(owner):
                 return
+            if len(hot):
+                apart = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                if apart.any():
+                    times = np.where(apart, n, 1)
+                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    owner, inside, begin, n, key, apart = np.repeat(owner, times), np.repeat(inside, times) + step, np.repeat(begin, times) + step, np.repeat(np.where(apart, 1, n), times), np.repeat(key, times), np.repeat(apart, times)
+                    single = np.flatnonzero(apart)
+                    key[single] = np.array([xxhash.xxh64_intdigest(b" ".join(words[a : a + window])) for a in begin[single].tolist()], np.uint64)
             ids64 = np.array([NULL_ID if i is None else i for i in ids], np.int64)
             head = np.zeros(len(owner), _HEAD)
             head["doc"], head["start"], head["key"], head["words"] = ids64[owner], inside, (key >> np.uint64(8)).astype(np.uint32), n + window - 1
+            head["tag"] = np.array(tags, np.int64)[owner]
             bucket = ((key * _A) >> np.uint64(33)).astype(np.int64) % buckets
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets + 1))
@@ -137,34 +227,28 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, window: int, buck
                 k = int(bucket[order[a]])
                 heads.setdefault(k, []).append(head[order[a:b]])
                 strings.setdefault(k, []).extend(packed[a:b])
-            held += sum(map(len, packed)) + 17 * len(packed)
+            held += sum(map(len, packed)) + _HEAD.itemsize * len(packed)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), utf8_views(batch.column(1))
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < CHUNK_BYTES):
-                    size += len(texts[end])
-                    end += 1
-                cut(ids[at:end], texts[at:end])
-                at = end
+            ids, tags, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8_views(batch.column(2))
+            for a, b in _chunks(texts):
+                cut(ids[a:b], tags[a:b], texts[a:b])
                 if held >= HOLD_BYTES:
                     yield flush()
         if heads:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "bucket int, block binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), row_tag(id_col, text_col).alias("tag"), F.col(text_col).alias("text")).mapInArrow(run, "bucket int, block binary")
 
 
-def _solve_run(rows: list[tuple[int, int, bytes]], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """Ranges (document, first word, words, check) that repeat an earlier document, of the super-k-mers of one minimiser.
+def _solve_run(rows: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Ranges (document, tag, first word, words, check) that repeat an earlier document, of the super-k-mers of one minimiser.
 
     Equal strings count once, for their smallest document. Their windows are sorted; of equal windows the first has the
     smallest document.
     """
     least: dict[bytes, int] = {}
-    for doc, _, s in rows:
+    for doc, _, _, s in rows:
         if s not in least or doc < least[s]:
             least[s] = doc
     texts = list(least)
@@ -181,7 +265,7 @@ def _solve_run(rows: list[tuple[int, int, bytes]], window: int) -> Iterator[tupl
             first[t][i] = low
     index = {s: t for t, s in enumerate(texts)}
     whole: dict[tuple[int, int, int], tuple[int, int]] = {}
-    for doc, start, s in rows:
+    for doc, tag, start, s in rows:
         f = first[index[s]]
         n = len(f)
         i = 0
@@ -196,16 +280,18 @@ def _solve_run(rows: list[tuple[int, int, bytes]], window: int) -> Iterator[tupl
             if key not in whole:
                 whole[key] = (j - i + window, zlib.crc32(s if j - i == n - 1 else b" ".join(s.split(b" ")[i : j + window])))
             size, check = whole[key]
-            yield doc, start + i, size, check
+            yield doc, tag, start + i, size, check
             i = j + 1
 
 
-def _solve_bucket(blocks: list[bytes], sizes: int, window: int) -> Iterator[list[tuple[int, int, int, int]]]:
+def _solve_bucket(blocks: list[bytes], sizes: int, window: int) -> Iterator[list[tuple[int, int, int, int, int]]]:
     slices = max(1, -(-sizes // SLICE_BYTES))
     for part in range(slices):
         heads, strings = [], []
         for b in blocks:
-            h, body = _unpack(b)
+            h, known, body = _unpack(b)
+            if part == 0 and len(known):
+                yield list(zip(*(known[c].tolist() for c in ("doc", "tag", "start", "words", "key"))))
             s = body.split(b"\n")
             if slices > 1:
                 mine = np.flatnonzero(h["key"] % slices == part)
@@ -221,10 +307,10 @@ def _solve_bucket(blocks: list[bytes], sizes: int, window: int) -> Iterator[list
         at = np.flatnonzero(np.diff(keys.astype(np.int64), prepend=-1))
         ends = np.append(at[1:], len(keys))
         several = docs[at] != docs[ends - 1]
-        out: list[tuple[int, int, int, int]] = []
-        starts = h["start"]
+        out: list[tuple[int, int, int, int, int]] = []
+        starts, tags = h["start"], h["tag"]
         for a, b in zip(at[several].tolist(), ends[several].tolist()):
-            rows = [(int(h["doc"][k]), int(starts[k]), flat[k]) for k in order[a:b].tolist()]
+            rows = [(int(h["doc"][k]), int(tags[k]), int(starts[k]), flat[k]) for k in order[a:b].tolist()]
             out += _solve_run(rows, window)
             if len(out) >= 100_000:
                 yield out
@@ -234,20 +320,22 @@ def _solve_bucket(blocks: list[bytes], sizes: int, window: int) -> Iterator[list
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``id, start, words, check``: word ranges of documents all of whose windows also start in a document of smaller id.
+    """``id, tag, start, words, check``: word ranges of documents all of whose windows also start in a document of smaller id.
 
     ``check`` is the CRC of the range's words joined by spaces: a range holds for any row of that id that has these words
-    there, so rows that repeat an id with another text are told apart. Null ids appear as the largest id.
+    there, so rows that repeat an id with another text are told apart. Null ids appear as the largest id, and ``tag`` tells
+    their rows apart. Ids are integers, or a TypeError is raised.
     """
-    spark = docs.sparkSession
-    cut = cut_documents(docs, id_col, text_col, window, 4 * partitions(spark))
+    need_integral(docs, id_col)
+    buckets = 4 * partitions(docs.sparkSession)
+    cut = cut_documents(docs, id_col, text_col, window, buckets, hot_minimisers(docs, text_col, window, buckets))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, blocks, size = None, [], 0
 
         def done():
             for rows in _solve_bucket(blocks, size, window):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["id", "start", "words", "check"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["id", "tag", "start", "words", "check"])
 
         for batch in batches:
             for k, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -256,11 +344,11 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     blocks, size = [], 0
                 bucket = k
                 blocks.append(block)
-                size += zstandard.frame_content_size(block[4:])
+                size += zstandard.frame_content_size(block[8:])
         if blocks:
             yield from done()
 
-    return cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "id long, start int, words int, check long")
+    return cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "id long, tag long, start int, words int, check long")
 
 
 def covered_words(words: list[bytes], ranges: list[dict]) -> np.ndarray:
@@ -274,8 +362,11 @@ def covered_words(words: list[bytes], ranges: list[dict]) -> np.ndarray:
 
 
 def _with_ranges(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    found = repeated_ranges(docs, id_col, text_col, window).groupBy("id").agg(F.collect_list(F.struct("start", "words", "check")).alias("__ranges"))
-    return docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).join(found.withColumnRenamed("id", "__id"), "__id", "left").drop("__id")
+    """The columns of ``docs`` and, as the last one, the ranges of each row's id (of its text, if that is null)."""
+    i, tag, ranges = free_names(docs, "__id", "__tag", "__ranges")
+    found = repeated_ranges(docs, id_col, text_col, window).groupBy(F.col("id").alias(i), F.col("tag").alias(tag)).agg(F.collect_list(F.struct("start", "words", "check")).alias(ranges))
+    keyed = docs.withColumn(i, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).withColumn(tag, row_tag(id_col, text_col))
+    return keyed.join(found, [i, tag], "left").select(*docs.columns, ranges)
 
 
 def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -283,8 +374,8 @@ def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Words are runs of anything but ASCII white space, unchanged. A word goes if a window that covers it also starts in a
     document of smaller id, judged on the input. Nulls: a null text has no words; a null id counts as larger than all ids.
-    Documents of fewer words than a window keep them all. Rows that repeat an id do not repeat each other. Empty tables
-    give no rows.
+    Documents of fewer words than a window keep them all. Rows that repeat an id do not repeat each other. Ids are integers.
+    Empty tables give no rows; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +400,8 @@ def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
     """Documents without their repeated words; texts without any stay byte for byte. White space goes with the word before
-    it. A text of which nothing is left is taken out; ``chars_col``, if there, is the new length. Other columns stay."""
+    it. A text of which nothing is left is taken out; ``chars_col``, if there, is the new length. Other columns stay, whatever
+    their names. Nulls, repeated rows and empty tables as ``substring_report``; ids are integers."""
     names = docs.columns
     at = names.index(text_col)
 
@@ -338,4 +430,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols[k] = pa.array([s if t is not o else c for s, t, o, c in zip(sizes, texts, old, cols[k].to_pylist())], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    return _with_ranges(docs, id_col, text_col, window).select(*names, "__ranges").mapInArrow(run, docs.schema)
+    return _with_ranges(docs, id_col, text_col, window).mapInArrow(run, docs.schema)
