@@ -19,19 +19,28 @@ from tidemark.llm._common import materialize
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: License templates by label.
 TEMPLATES = {
+    "agpl": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     "apache": "Licensed under the Apache License, Version 2.0",
+    "apache-text": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "boost": "Distributed under the Boost Software License, Version 1.0",
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
     "cc-by-sa": "Licensed under CC BY-SA 4.0",
+    "cc0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License",
     "gpl-3": "This work is licensed under the GNU General Public License, version 3",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl": "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License",
     "mit": "Released under the MIT License",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
     "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "public-domain": "This work has been released into the public domain",
+    "unlicense": "This is free and unencumbered software released into the public domain",
 }
 CONTAINMENT = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A line of nothing but white space ends a block, so that wrapped notices are one block.
+BLANK_LINE = r"\n[ \t\r\x0B\x0C]*\n"
 #: A word before A-Z are lower-cased; lower-cased, it is a run of a-z, 0-9 and anything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -46,6 +55,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def blocks_of(text: Column) -> Column:
+    """Runs of lines between blank lines; null has none."""
+    return F.split(text, BLANK_LINE)
+
+
 def tokens_of(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))
 
@@ -103,11 +117,12 @@ def prefix_index(templates: dict[str, str], order: list[str], containment: float
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_words, hits array<struct<at,label>>, found array<struct<label,containment,line>>`` for each document.
+    """``id, n_words, hits array<struct<at,label>>, found array<struct<label,containment,block>>`` for each document.
 
-    ``hits`` are all places of the phrases. ``found`` are the template matches: a block is a line; it matches when it holds
-    ``containment`` or more of the template's distinct words. Of equal labels the best line is kept, of equal lines the
-    first in string order.
+    ``hits`` are all places of the phrases. ``found`` are the template matches: a block is a run of lines between blank ones
+    (so what any single line holds, its block holds too); it matches when it holds ``containment`` or more of the template's
+    distinct words. Of equal labels the best block is kept, of equal blocks the first; ``block`` is its place among
+    ``blocks_of`` the text.
 
     Nulls: a null text has no words and no blocks; ids may be null. Repeated rows each give their row. Empty tables give no
     rows. Other columns are not looked at. The tokens of the templates are the only things ever broadcast or collected.
@@ -121,28 +136,31 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     index = prefix_index(templates, order, containment)
     n_words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
     hits = F.coalesce(phrase_hits(text, phrases), F.array().cast("array<struct<at:bigint,label:string>>")) if phrases else F.array().cast("array<struct<at:bigint,label:string>>")
+    none = F.array().cast("array<struct<label:string,containment:double,block:int>>")
     if not index:
-        return docs.select(F.col(id_col).alias("id"), n_words.alias("n_words"), hits.alias("hits"), F.array().cast("array<struct<label:string,containment:double,line:string>>").alias("found"))
+        return docs.select(F.col(id_col).alias("id"), n_words.alias("n_words"), hits.alias("hits"), none.alias("found"))
     # Prefix filter on the blocks: without a token of some template's prefix no template can be contained.
     edge = r"(?:^|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
     prefix = f"(?i){edge}(?:" + "|".join(sorted({x[0] for x in index})) + r")(?:$|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
-    lines = F.when(text.rlike(prefix), F.filter(F.split(text, r"\n"), lambda x: x.rlike(prefix))).otherwise(F.array().cast("array<string>"))
-    base = materialize(docs.select(key.alias("key"), n_words.alias("n_words"), hits.alias("hits"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines")), "licenses")
-    blocks = base.filter(F.size("lines") > 0).select("key", F.explode(F.array_distinct("lines")).alias("line"))
-    # A block's template tokens in the global order: array_intersect keeps the order of its first argument.
-    blocks = blocks.select("key", "line", F.array_intersect(_literal(order), F.transform(words(F.col("line")), lower_ascii)).alias("b"))
     least = min(x[4] for x in index)
-    probes = blocks.filter(F.size("b") >= least).select("key", "line", "b", F.posexplode(F.slice("b", F.lit(1), F.size("b") - least + 1)).alias("j", "token"))
+    # A block's template tokens in the global order: array_intersect keeps the order of its first argument.
+    held = lambda x: F.when(x.rlike(prefix), F.array_intersect(_literal(order), F.transform(words(x), lower_ascii)))
+    tokens = F.transform(blocks_of(text), lambda x, k: F.struct(k.alias("block"), held(x).alias("b")))
+    blocks = F.when(text.rlike(prefix), F.filter(tokens, lambda x: F.size(x["b"]) >= least))
+    kind = "array<struct<block:int,b:array<string>>>"
+    base = materialize(docs.select(key.alias("key"), n_words.alias("n_words"), hits.alias("hits"), F.coalesce(blocks, F.array().cast(kind)).alias("blocks")), "licenses")
+    blocks = base.filter(F.size("blocks") > 0).select("key", F.inline("blocks"))
+    probes = blocks.select("key", "block", "b", F.posexplode(F.slice("b", F.lit(1), F.size("b") - least + 1)).alias("j", "token"))
     build = spark.createDataFrame(index, "token string, label string, i int, size int, need int, t array<string>")
     pairs = probes.join(F.broadcast(build), "token")  # bounded: the prefixes of the given templates
     size_b = F.size("b")
     pairs = pairs.filter((size_b >= F.col("need")) & (F.col("j") <= size_b - F.col("need")) & (1 + F.least(F.col("size") - F.col("i") - 1, size_b - F.col("j") - 1) >= F.col("need")))
     overlap = F.size(F.array_intersect("b", "t"))
-    sure = pairs.filter(overlap >= F.col("need")).select("key", "label", (overlap / F.col("size")).alias("containment"), "line")
-    best = sure.groupBy("key", "label").agg(F.max(F.struct("containment", "line")).alias("m"))
-    found = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("label", F.col("m.containment").alias("containment"), F.col("m.line").alias("line")))).alias("found"))
-    out = base.drop("lines").join(found.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "left")
-    return out.select(F.col("key.id").alias("id"), "n_words", "hits", F.coalesce("found", F.array().cast("array<struct<label:string,containment:double,line:string>>")).alias("found"))
+    sure = pairs.filter(overlap >= F.col("need")).select("key", "label", (overlap / F.col("size")).alias("containment"), "block")
+    best = sure.groupBy("key", "label").agg(F.max(F.struct("containment", (-F.col("block")).alias("at"))).alias("m"))
+    found = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("label", F.col("m.containment").alias("containment"), (-F.col("m.at")).cast("int").alias("block")))).alias("found"))
+    out = base.drop("blocks").join(found.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")), "left")
+    return out.select(F.col("key.id").alias("id"), "n_words", "hits", F.coalesce("found", none).alias("found"))
 
 
 def license_report(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """
     WITH items AS (
       SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-      FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+      FROM benchmark WHERE text IS NOT NULL),
     pats AS (
       SELECT DISTINCT item, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS p
       FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM items WHERE len(w) > 0)),
@@ -122,7 +122,7 @@ def _license_sql() -> str:
     t(label, t) AS (VALUES {templates}),
     p(label, p) AS (VALUES {phrases}),
     hits AS (SELECT r, label, i - 1 AS pos FROM (SELECT r, w, label, p, unnest(range(1, len(w) + 1)) AS i FROM w, p) WHERE w[i] = p[1] AND w[i:i + len(p) - 1] = p),
-    lines AS (SELECT r, list_distinct({low.format("line")}) AS b FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+    lines AS (SELECT r, list_distinct({low.format("line")}) AS b FROM (SELECT r, unnest(regexp_split_to_array(text, '\\n[ \\t\\r\\x0B\\x0C]*\\n')) AS line FROM docs)),
     found AS (SELECT r, label, max(len(list_intersect(b, t)) / len(t)) AS c FROM lines, t WHERE len(list_intersect(b, t)) >= ceil({CONTAINMENT} * len(t) - 1e-9) GROUP BY r, label),
     h AS (SELECT r, count(*) AS n, min(pos) AS a, max(pos) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS s FROM hits GROUP BY r),
     f AS (SELECT r, max(c) AS c FROM found GROUP BY r),
