@@ -80,3 +80,14 @@ def test_other_tokenizers_are_refused(tmp_path):
         (tmp_path / "t.json").write_text(json.dumps({**spec, **change}))
         with pytest.raises(ValueError):
             PrefixCounter(str(tmp_path / "t.json"))
+
+
+def test_pairs_stay_apart_as_their_merges_say():
+    c, rng = counter(PATH), random.Random(11)
+    tokens = sorted(c.tokens, key=lambda t: c.rank[t])
+    pairs = [(rng.choice(tokens[: 10 ** rng.randrange(2, 6)]), rng.choice(tokens[: 10 ** rng.randrange(2, 6)])) for _ in range(20_000)]
+    for t in rng.sample(tokens, 3000):  # pairs that are likely to merge elsewhere
+        k = rng.randrange(1, len(t) + 1)
+        pairs += [(x, y) for x, y in ((t[:k], t[k:]), (t, t), (t[k:], t)) if x in c.tokens and y in c.tokens]
+    for a, b in pairs:
+        assert c._may_follow(a, b) == (c._merge(a + b) == [a, b]), (a, b)

@@ -10,10 +10,13 @@ pre-token and shared by all texts; a text's table is put together from these, an
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -27,9 +30,11 @@ PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets":
 #: Fixed value: the characters that the tokenizer's split pattern takes as white space, and that pattern.
 _WS = r"\t-\r \x85\xa0  -     　"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-_SPACES = regex.compile(rf"[{_WS}]{{2}}")
+#: Wider than the above, which costs some texts the shorter way and nothing else.
+_SPACES = re.compile(r"\s\s")
 _SPACE = frozenset(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Pre-tokens (of up to so many characters) whose counts a worker keeps; beyond it, the older half is dropped.
+#: Pre-tokens (of up to so many characters) and pairs of tokens that a worker keeps; as many again stay from before, so that
+#: frequent ones are never lost.
 CACHE, CACHE_CHARS = 500_000, 64
 _CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
 
@@ -51,72 +56,103 @@ class PrefixCounter:
         if kinds != ([None, PRE_TOKENIZER, None], "BPE", False) or any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", [])):
             raise ValueError(f"{path}: this tokenizer normalises or splits texts in another way")
         to = _byte_of_char()
-        plain = lambda t: bytes(to[c] for c in t)
+        plain = lambda t: "".join([chr(to[c]) for c in t])
         self.ranks = {}
         for k, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[plain(a), plain(b)] = k
-        tokens = {a + b for a, b in self.ranks} | {bytes([b]) for b in range(256)}
-        self.tokens = {t for t in tokens if len(t) == 1 or self._merge(t) == [t]}
-        self.tails = {t[k:] for t in self.tokens for k in range(len(t))}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        #: The two tokens that each token is merged from at last, and the rank of that merge; none for single bytes.
+        self.halves = {t: pair for t in {a + b for a, b in self.ranks} if (pair := self._last_merge(t))}
+        self.rank = {t: self.ranks[pair] for t, pair in self.halves.items()} | {chr(b): -1 for b in range(256)}
+        self.tokens = set(self.rank)
+        self.ends = ahocorasick.Automaton()
+        for t in self.tokens:
+            self.ends.add_word(t, (t, len(t)))
+        self.ends.make_automaton()
+        self.fits: dict[tuple[str, str], bool] = {}
         self.gains: dict[str, bytes] = {}
+        self.old_gains: dict[str, bytes] = {}
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=lambda t: (-len(t), t))
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
 
-    def _merge(self, word: bytes) -> list[bytes]:
-        """The encoding itself: the pair of lowest rank is merged first. Only asked for single tokens and pairs of them."""
+    def _merge(self, word: str, stop: int = 1) -> list[str]:
+        """The encoding itself: the pair of lowest rank is merged first, until ``stop`` parts are left. Only asked for the
+        vocabulary's tokens, once each."""
         parts = [word[k : k + 1] for k in range(len(word))]
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = min(((self.ranks.get((a, b), 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 60, 0))
             if best == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _may_follow(self, a: bytes, b: bytes) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > CACHE:
-                self.fits.clear()
-            got = self.fits[a, b] = self._merge(a + b) == [a, b]
+    def _last_merge(self, token: str) -> tuple[str, str] | None:
+        """The halves of a token, if it is its own encoding."""
+        pair = tuple(self._merge(token, 2))
+        return pair if len(pair) == 2 and pair in self.ranks else None
+
+    def _may_follow(self, a: str, b: str) -> bool:
+        """Whether two tokens side by side are the encoding of their bytes.
+
+        Their merges are undone from the last to the first, on the side of the border where the later one was. A pair that
+        touches the border and has a lower rank than the merge undone there would have been merged before it.
+        """
+        key = (a, b)
+        got = self.fits.get(key)
+        if got is not None:
+            return got
+        if len(self.fits) >= 2 * CACHE:
+            self.fits.clear()
+        rank, ranks, halves = self.rank, self.ranks, self.halves
+        before = 1 << 60  # merges below this rank come first
+        got = True
+        while True:
+            if ranks.get((a, b), 1 << 60) < before:
+                got = False
+                break
+            ra, rb = rank[a], rank[b]
+            if ra < 0 and rb < 0:
+                break
+            if ra > rb:
+                before, a = ra, halves[a][1]
+            else:  # of equal ranks the one to the left is merged first, so the pair at the border too
+                before, b = rb + 1, halves[b][0]
+        self.fits[key] = got
         return got
 
-    def counts(self, word: bytes) -> list[int]:
-        """Exact token count of every prefix of a pre-token, by bytes; entry 0 is the empty prefix."""
-        tokens, tails, fits = self.tokens, self.tails, self._may_follow
-        count, last = [0], [b""]
-        for i in range(1, len(word) + 1):
-            found = []
-            start = i - 1
-            while start >= 0 and (t := word[start:i]) in tails:
-                if t in tokens:
-                    found.append(t)
-                start -= 1
-            for t in reversed(found):
-                before = i - len(t)
-                if before == 0 or fits(last[before], t):
-                    break
-            count.append(count[i - len(t)] + 1)
-            last.append(t)
+    def counts(self, word: str) -> list[int]:
+        """Exact token count of every prefix of a pre-token, by bytes; entry 0 is the empty prefix. Bytes stand as characters
+        of the same number. All tokens that end at a place come from one automaton, the longest first."""
+        count, last, fits = [0] * (len(word) + 1), [""] * (len(word) + 1), self.fits
+        done = 0
+        for end, (token, size) in self.ends.iter(word):
+            if end < done:
+                continue
+            before = end + 1 - size
+            if before:
+                pair = (last[before], token)
+                fit = fits.get(pair)
+                if not (self._may_follow(*pair) if fit is None else fit):
+                    continue
+            done = end + 1
+            count[done], last[done] = count[before] + 1, token
         return count
 
     def _gains(self, word: str) -> bytes:
         """What each code point of a pre-token adds to the count, as signed bytes."""
         got = self.gains.get(word)
         if got is None:
-            c = self.counts(word.encode("utf-8"))
-            if word in _CONTRACTIONS:  # a prefix of it is split otherwise
-                at = [1, 2, c[-1]]
-            elif word.isascii():
-                at = c[1:]
-            else:
-                at = [c[k] for k in np.cumsum([len(ch.encode("utf-8")) for ch in word]).tolist()]
-            got = np.diff(np.array([0, *at])).astype(np.int8).tobytes()
+            got = self.old_gains.get(word)
+            if got is None:
+                c = self.counts(word if word.isascii() else word.encode("utf-8").decode("latin-1"))
+                if word in _CONTRACTIONS:  # a prefix of it is split otherwise
+                    c = [0, 1, 2, c[-1]]
+                elif not word.isascii():
+                    c = [c[k] for k in accumulate((len(ch.encode("utf-8")) for ch in word), initial=0)]
+                got = bytes([y - x & 255 for x, y in pairwise(c)])
             if len(word) <= CACHE_CHARS:
                 if len(self.gains) >= CACHE:
-                    for k in [*self.gains][: CACHE // 2]:
-                        del self.gains[k]
+                    self.old_gains, self.gains = self.gains, {}
                 self.gains[word] = got
         return got
 
