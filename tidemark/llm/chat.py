@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm._common import tidy
+
 
 @dataclass(frozen=True)
 class Turns:
@@ -207,7 +209,7 @@ def digest_conversations(turns: DataFrame, order: tuple[str, ...] = ("seq", "par
             done.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
             yield flush()
 
-    return rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", *order).mapInArrow(tidy(run), schema)
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

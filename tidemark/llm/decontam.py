@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WORD_BYTES, free_names, map_arrow, utf8_views
+from tidemark.llm._common import WORD_BYTES, free_names, map_arrow, tidy, utf8_views
 
 #: Log2 of the entries of a shift table, and the bytes of a shift block.
 TABLE_BITS, BLOCK = 22, 8
@@ -246,7 +246,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 got = s.search(utf8_views(batch.column(at)))
                 yield batch.filter(pa.array([not contaminated(sum(b - a for a, b in r), n) for n, r, _ in got], pa.bool_()))
 
-        return docs.mapInArrow(keep, docs.schema)
+        return docs.mapInArrow(tidy(keep), docs.schema)
     key = F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("h"))
     found = find_contamination(docs.select(key.alias("id"), F.col(text_col).alias("text")), benchmark, "id", "text", window)
     n_hit = F.aggregate("ranges", F.lit(0), lambda a, r: a + r["to"] - r["from"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import held_out, map_arrow
+from tidemark.llm._common import held_out, map_arrow, tidy
 
 #: Labelled whole texts per language (about) that a fit reads, the n-grams kept per language, log2 of the filter bits, hashes.
 FIT_DOCS, FIT_GRAMS, LOG2_BITS, HASHES = 600, 60_000, 20, 3
@@ -180,7 +180,7 @@ def keep_identified(docs: DataFrame, filters: LanguageFilters, min_score: float
             pred, score, _, n = shared.value.predict(batch.column(at).to_pylist())
             yield batch.filter(pa.array([p != UNKNOWN and highest_share(s, k, sure) >= min_score for p, s, k in zip(pred, score, n.tolist())], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def predict_documents(docs: DataFrame) -> DataFrame:

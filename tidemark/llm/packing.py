@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm._common import materialize
+from tidemark.llm._common import materialize, tidy
 
 CAPACITY, QUANTUM, END_ID = 4096, 8, 2
 #: Parts of a bin that are ranked apart, so that no bin is one task's.
@@ -245,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(salt.astype(np.int32))], ["id", "h", "n", "crcs", "salt"])
 
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
-    base = materialize(keyed.mapInArrow(tokenise, f"id {kind}, h long, n long, crcs array<bigint>, salt int"), "packing-tokens")
+    base = materialize(keyed.mapInArrow(tidy(tokenise), f"id {kind}, h long, n long, crcs array<bigint>, salt int"), "packing-tokens")
     rest = F.col("n") % capacity
     cells = base.select("*", F.ceil(rest / quantum).cast("int").alias("bin"), F.floor(F.col("n") / capacity).alias("full"))
     # At most (capacity / quantum + 1) * SALTS rows, whatever the input.
@@ -282,7 +282,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             cols = [batch.column(batch.schema.get_field_index("id")).take(at), c["h"].take(at), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), c["n"].take(at), pa.array(sequence, pa.int64()), pa.array(bins).take(at).cast(pa.int32()), pa.array(rank).take(at)]
             yield pa.RecordBatch.from_arrays(cols, ["id", "h", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "bin", "rank"])
 
-    placed = materialize(ranked.mapInArrow(place, f"id {kind}, h long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, bin int, rank long"), "packing-pieces")
+    placed = materialize(ranked.mapInArrow(tidy(place), f"id {kind}, h long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, bin int, rank long"), "packing-pieces")
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     by = Window.partitionBy("sequence_id").orderBy("bin", "rank")
     patterned = placed.filter("sequence_id >= 0").withColumn("offset", F.sum("length").over(by) - F.col("length"))
@@ -309,7 +309,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     # Documents cut at the end of a sequence of the rest are tokenised again; they are as few as those sequences.
     again = parts.groupBy(F.col("id").alias("i"), F.col("h").alias("k")).agg(F.collect_list(F.struct("start", "length", "doc_tokens", "sequence_id", "offset")).alias("p"))
     texts = keyed.join(F.broadcast(again), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))).dropDuplicates(["id", "h"]).select("id", "text", "p")
-    fixed = texts.mapInArrow(crc, f"id {kind}, p array<struct<start:bigint,length:bigint,doc_tokens:bigint,sequence_id:bigint,offset:bigint,ids_crc32:bigint>>").select("id", F.inline("p"))
+    fixed = texts.mapInArrow(tidy(crc), f"id {kind}, p array<struct<start:bigint,length:bigint,doc_tokens:bigint,sequence_id:bigint,offset:bigint,ids_crc32:bigint>>").select("id", F.inline("p"))
     out = patterned.select(names)
     for x in (whole, fixed, fulls):
         out = out.unionByName(x.select(names))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import free_names, map_arrow, materialize, utf8_views
+from tidemark.llm._common import free_names, map_arrow, materialize, tidy, utf8_views
 from tidemark.llm.components import connected_components
 
 SEED = 42
@@ -149,7 +149,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 3) -> DataFrame:
         if len(held_k):
             yield solve(held_k, held_f)
 
-    out = map_arrow(fps.select("fp"), emit, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long")
+    out = map_arrow(fps.select("fp"), emit, "key long, fp long").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(tidy(meet), "a long, b long")
     return out.distinct()
 
 
@@ -382,7 +382,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if len(held[0]):
             yield several(*held)
 
-    met = map_arrow(classes.select("cid", "bands"), emit, "key long, cid long").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(gather, "set long, cid long").distinct()
+    met = map_arrow(classes.select("cid", "bands"), emit, "key long, cid long").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(tidy(gather), "set long, cid long").distinct()
 
     def by_set(solve):
         """Runs ``solve(set, cids, shingles)`` for each set of rows that are sorted by set and cid; it returns rows (set, a, b)."""
@@ -432,7 +432,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = rows.join(firsts, "cid").filter(F.col("id").eqNullSafe(F.col("__l")) & (F.col("h") == F.col("__lh"))).select("cid", "shingles")
 
     def compared(sets: DataFrame, shingles: DataFrame, solve) -> DataFrame:
-        return sets.join(shingles, "cid").select("set", "cid", "shingles").repartition("set").sortWithinPartitions("set", "cid").mapInArrow(by_set(solve), "set long, a long, b long").distinct()
+        return sets.join(shingles, "cid").select("set", "cid", "shingles").repartition("set").sortWithinPartitions("set", "cid").mapInArrow(tidy(by_set(solve)), "set long, a long, b long").distinct()
 
     sifted = materialize(compared(met, known, sift), "near-sifted")
     undecided = sifted.filter(F.col("set").isNotNull()).select("set", F.col("a").alias("cid"))

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import free_names, materialize, need_integral, partitions, release, utf8_views
+from tidemark.llm._common import free_names, materialize, need_integral, partitions, release, tidy, utf8_views
 
 WINDOW, MINIMISER = 13, 2
 #: Bytes of text that are cut at once, of packed strings that a task holds before it sends blocks, of a bucket that are
@@ -145,7 +145,7 @@ def hot_minimisers(docs: DataFrame, text_col: str, window: int, buckets: int) ->
     """Ascending keys of the minimisers that are hot, from a count over all documents.
 
     A task counts its own super-k-mers and names the keys that it has more than once, so a key is missed only below the
-    limit plus one for each task. No more than ``buckets / HOT_SHARE`` keys reach the driver.
+    limit plus one for each million that a task counts. No more than ``buckets / HOT_SHARE`` keys reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +163,14 @@ def hot_minimisers(docs: DataFrame, text_col: str, window: int, buckets: int) ->
                 held.append(super_kmers(texts[a:b], window)[-1])
                 size += len(held[-1])
                 total += len(held[-1])
-                if size >= 4_000_000:
+                if size >= 1_000_000:
                     yield flush()
                     size = 0
         if held:
             yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["key", "n"])
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= HOT_LEAST))
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("key").isNull() | (F.col("n") >= HOT_LEAST))
     counts = materialize(counts, "minimisers")
     total = counts.filter("key IS NULL").agg(F.max("n")).first()[0] or 0
     found = counts.filter(F.col("key").isNotNull() & (F.col("n") >= total * HOT_SHARE / buckets)).select("key").collect()
@@ -238,7 +238,7 @@ def cut_documents(docs: DataFrame, id_col: str, text_col: str, window: int, buck
         if heads:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), row_tag(id_col, text_col).alias("tag"), F.col(text_col).alias("text")).mapInArrow(run, "bucket int, block binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), row_tag(id_col, text_col).alias("tag"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "bucket int, block binary")
 
 
 def _solve_run(rows: list[tuple[int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -348,7 +348,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if blocks:
             yield from done()
 
-    return cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, "id long, tag long, start int, words int, check long")
+    return cut.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(solve), "id long, tag long, start int, words int, check long")
 
 
 def covered_words(words: list[bytes], ranges: list[dict]) -> np.ndarray:
@@ -395,7 +395,7 @@ def substring_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     joined = _with_ranges(docs.select("doc_id", "text"), "doc_id", "text", window)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return joined.mapInArrow(tidy(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
@@ -430,4 +430,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 cols[k] = pa.array([s if t is not o else c for s, t, o, c in zip(sizes, texts, old, cols[k].to_pylist())], cols[k].type)
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep, pa.bool_()))
 
-    return _with_ranges(docs, id_col, text_col, window).mapInArrow(run, docs.schema)
+    return _with_ranges(docs, id_col, text_col, window).mapInArrow(tidy(run), docs.schema)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm._common import tidy
+
 #: Fixed values of the format: a gzip member's first bytes, the revisit profile, the form of a date.
 GZIP_MAGIC = b"\x1f\x8b\x08"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,7 +104,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int64()), pa.array(range(k, k + len(out)), pa.int64()), pa.array(out, pa.binary())], ["archive", "chunk", "data"])
             k += len(out)
 
-    return joined.mapInArrow(build, "archive long, chunk long, data binary")
+    return joined.mapInArrow(tidy(build), "archive long, chunk long, data binary")
 
 
 @dataclass
@@ -282,7 +284,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return archives.select("archive", "chunk", "data").mapInArrow(read, RECORD_SCHEMA)
+    return archives.select("archive", "chunk", "data").mapInArrow(tidy(read), RECORD_SCHEMA)
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
