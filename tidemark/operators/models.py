@@ -1,4 +1,4 @@
-"""Forecast baselines: persistence, ridge, random forest, boosted trees, ARIMA with rolling origins, and their driver."""
+"""Forecast baselines: persistence, ridge, random forest, boosted trees, ARIMA with rolling origins."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ def forest(_: DataFrame, trees: int = 100, depth: int = 10) -> RandomForestRegre
     return RandomForestRegressor(featuresCol="__features", labelCol="__y", numTrees=trees, maxDepth=depth, seed=SEED)
 
 
-def boosted(_: DataFrame, trees: int = 100, depth: int = 5, rate: float = 0.1) -> GBTRegressor:
+def boosted(_: DataFrame, trees: int = 300, depth: int = 8, rate: float = 0.1) -> GBTRegressor:
     return GBTRegressor(featuresCol="__features", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=SEED)
 
 

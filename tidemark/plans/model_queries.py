@@ -93,7 +93,7 @@ def ridge_forecast(spark: SparkSession, d: str) -> DataFrame:
 @query("forest_forecast")
 def forest_forecast(spark: SparkSession, d: str) -> DataFrame:
     t = training(spark, d)
-    return _skill_of(models.fit_predict(t, features.predictor_columns(t), "target_6h", lambda x: models.forest(x, 20, 6), "forest", 6, cap=60_000))
+    return _skill_of(models.fit_predict(t, features.predictor_columns(t), "target_6h", lambda x: models.forest(x, 100), "forest", 6, cap=60_000))
 
 
 @query("boosted_forecast")

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.exprs import parse_number, parse_ts
 
+#: The fields of a database export.
 EXPORT = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "code_id", "station_name", "x_utm", "y_utm", "variable", "quality", "timestamp", "value")])
 #: Column names of clean files by kind.
 CLEAN = {"hydro": ("HEIGHT_m", "WATER_TEMP_C"), "meteo": ("PRECIP_mm", "TEMP_C"), "hourly": ("PRECIP_mm",)}
@@ -37,8 +38,8 @@ def clean_files(spark: SparkSession, path: str | list[str], kind: str) -> DataFr
 
 
 def export_csv(spark: SparkSession, path: str | list[str], variable: str | None = None) -> DataFrame:
-    """Rows of a database export; lines with too few fields are dropped; the variable filter reaches the scan."""
-    df = spark.read.schema(EXPORT).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    """Rows of a database export; lines with too few fields are dropped, whatever columns are asked for later."""
+    df = spark.read.schema(EXPORT).option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).csv(path)
     return df.filter(F.col("variable") == variable) if variable else df
 
 
