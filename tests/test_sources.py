@@ -1,12 +1,13 @@
 import io
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs
-from tidemark.operators import ingest, models
+from tidemark.operators import ingest, metrics, models
 from tidemark.sources import readers, simulator, writers
 from tidemark.streaming import online
 
@@ -130,3 +131,42 @@ def test_streams(spark, tmp_path):
     assert len(run(online.wet_sessions(read(), wet=1.0), "sessions")) == 2
     assert sum(r.n_above for r in run(online.exceedances(read(), 30.0), "above")) == 5
     assert len(run(online.snapped(read()), "snapped", "append")) == 13
+
+
+def test_arima_forecasts_stay_bounded():
+    for phi in ([1.4, 0.2], [-1.7], [0.3, 0.9]):
+        assert np.abs(np.roots([1.0, *-models._stationary(np.array(phi))])).max() <= 0.99 + 1e-9
+    assert list(models._stationary(np.array([0.5, 0.2]))) == [0.5, 0.2] and not len(models._stationary(np.zeros(0)))
+    for seed in range(10):
+        y = np.random.default_rng(seed).normal(50, 20, 2000)
+        assert np.abs(models.Arima.fit(y, None, 2, 1).forecast(y[-360:], None, 288) - 50).max() < 200
+
+
+def test_evaluation_equals_its_parts(spark):
+    rows = [("m", k % 3, datetime(2024, 1, 1) + timedelta(hours=k), None if k % 7 == 0 else float(k * 37 % 101), float(k * 53 % 97)) for k in range(60)]
+    df = spark.createDataFrame(rows, "model string, g int, ts timestamp_ntz, obs double, sim double")
+    got = {r.g: r for r in metrics.evaluation(df, (30.0, 1000.0), "model", "g").collect()}
+    skill = {r.g: r for r in metrics.skill(df, "g").collect()}
+    peaks = {r.g: r for r in metrics.peak_errors(df, "g").collect()}
+    over = {r.g: r for r in metrics.threshold_scores(df, 30.0, "g").collect()}
+    assert set(got) == {0, 1, 2}
+    for g, r in got.items():
+        assert all(r[c] == pytest.approx(skill[g][c]) for c in ("n", "nse", "kge", "rmse", "mae", "pbias"))
+        assert (r.peak_mag_err, r.peak_time_err_h) == (peaks[g].peak_mag_err, peaks[g].peak_time_err_h)
+        assert (r.pod_30, r.far_30, r.csi_30, r.pod_1000) == (over[g].pod, over[g].far, over[g].csi, None)
+
+
+def test_benchmark_gives_every_model_the_table_s_targets(spark):
+    rng = np.random.default_rng(5)
+    y = 50 + np.cumsum(rng.normal(0, 1, 760))
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=k), float(y[k]), float(rng.normal()) if k % 5 else None, float(y[k + 1]), float(y[k + 6]), "train" if k < 500 else "validation" if k < 620 else "test") for k in range(740)]
+    table = spark.createDataFrame(rows, "ts timestamp_ntz, level double, x double, target_1h double, target_6h double, split string").persist()
+    got = models.benchmark(table, ["level", "x"], "level", (1, 6), {"ridge": (models.ridge, None)}, ("x",), per_hour=1, arima_window=360).toPandas()
+    assert set(got.model) == {"persistence", "ridge", "arima", "arimax"} and not got.duplicated(["ts", "model", "horizon_h"]).any()
+    truth = {(r[0], h): r[3 if h == 1 else 4] for r in rows for h in (1, 6)}
+    assert all(truth[t.to_pydatetime(), h] == o for t, h, o in zip(got.ts, got.horizon_h, got.obs))
+    assert set(got[got.model == "arima"].split) == {"validation", "test"} and set(got[got.model == "ridge"].split) == {"train", "validation", "test"}
+    assert got[got.split != "train"].dropna(subset=["sim"]).groupby("model").size().min() >= 2 * 200
+    near = got[(got.horizon_h == 1) & (got.split != "train")].dropna(subset=["sim"])
+    assert (near.sim - near.obs).abs().max() < 30
+    table.unpersist()

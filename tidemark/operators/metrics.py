@@ -58,6 +58,24 @@ def threshold_scores(df: DataFrame, threshold: float, *keys: str) -> DataFrame:
     return c.select("*", ratio("hits", h + m).alias("pod"), ratio("false_alarms", h + f).alias("far"), ratio("hits", h + m + f).alias("csi"))
 
 
+def evaluation(df: DataFrame, thresholds: tuple[float, ...], *keys: str) -> DataFrame:
+    """Skill, peak errors and the scores of each threshold (``pod_<t>``, ``far_<t>``, ``csi_<t>``), in one pass over the predictions."""
+    at = lambda c: F.min_by(F.struct("ts", c), F.struct(-F.col(c), "ts"))
+    counts = []
+    for k, t in enumerate(thresholds):
+        o, s = F.col("obs") > t, F.col("sim") > t
+        counts += [F.count_if(o & s).alias(f"__h{k}"), F.count_if(o & ~s).alias(f"__m{k}"), F.count_if(~o & s).alias(f"__f{k}")]
+    basic = [F.count("*").alias("n"), nse().alias("nse"), kge().alias("kge"), rmse().alias("rmse"), mae().alias("mae"), pbias().alias("pbias")]
+    g = _pairs(df).groupBy(*keys).agg(*basic, at("obs").alias("__o"), at("sim").alias("__s"), *counts)
+    scores = []
+    for k, t in enumerate(thresholds):
+        h, m, f = (F.col(f"__{c}{k}") for c in "hmf")
+        for name, of in (("pod", h + m), ("far", h + f), ("csi", h + m + f)):
+            scores.append(((f if name == "far" else h) / F.nullif(of, F.lit(0))).alias(f"{name}_{t:g}"))
+    hours = (micros(F.col("__s.ts")) - micros(F.col("__o.ts"))) / float(HOUR)
+    return g.select(*keys, "n", "nse", "kge", "rmse", "mae", "pbias", (F.col("__s.sim") - F.col("__o.obs")).alias("peak_mag_err"), hours.alias("peak_time_err_h"), *scores)
+
+
 def per_event(df: DataFrame, events: DataFrame, *keys: str, step: int = 600_000_000, shift_h: str | None = None) -> DataFrame:
     """Metrics inside event windows; events with fewer than 2 pairs are left out. Windows are in issue time; ``shift_h``
     names a column of hours that moves predictions to their valid time first. Windows are spread over grid positions and

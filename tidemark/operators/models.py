@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -96,7 +97,7 @@ class Arima:
         for _ in range(3):
             design = np.concatenate([lagged(d, k)[:, :p], lagged(e, k)[:, :q]], 1) if k else np.zeros((len(d), 0))
             coef = np.linalg.lstsq(design[m:], d[k:][m:], rcond=None)[0]
-            phi, theta = coef[:p], _shrunk(coef[p:])
+            phi, theta = _stationary(coef[:p]), _shrunk(coef[p:])
             e = cls._residuals(d, phi, theta)
         s2 = max(float(np.mean(e[m:] ** 2)), 1e-300)
         return cls(p, q, beta, phi, theta, len(d) * np.log(s2) + 2 * (p + q + len(beta) + 1))
@@ -130,6 +131,14 @@ class Arima:
         return y[-1] + np.cumsum(out + ahead)
 
 
+def _stationary(phi: np.ndarray, limit: float = 0.99) -> np.ndarray:
+    """``phi`` with its roots drawn in to ``limit`` if one lies beyond, so that forecasts cannot grow without bound."""
+    if not len(phi):
+        return phi
+    radius = np.abs(np.roots(np.concatenate([[1.0], -phi]))).max(initial=0.0)
+    return phi * (limit / radius) ** np.arange(1, len(phi) + 1) if radius > limit else phi
+
+
 def _shrunk(theta: np.ndarray) -> np.ndarray:
     total = np.abs(theta).sum()
     return theta * (0.95 / total) if total > 0.95 else theta
@@ -147,7 +156,8 @@ def arima_forecasts(
     """Rolling-origin forecasts of each series: the model is fitted on the last ``fit_rows`` train rows, then every ``every``
     rows of the later splits a forecast of ``steps`` rows starts from a window of ``window`` rows. A row's forecast for h
     hours ahead comes from the latest origin at or before it; NULL beyond the lead. External columns stay at their origin
-    values, the daily cycle too unless ``advance_fourier``.
+    values, the daily cycle too unless ``advance_fourier``. Their NULLs become the median of the series' train rows (0 if it
+    has none); the order is chosen without them.
 
     Fits and windows are grouped pandas; each row is sent to the few windows that hold it, so no group is longer than a window.
     """
@@ -157,17 +167,24 @@ def arima_forecasts(
     first_later = F.min(F.when(F.col("split") != "train", F.col("pos"))).over(Window.partitionBy(key))
     rows = rows.withColumn("t1", train_last).withColumn("o0", first_later).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(key)))
     names = list(exog)
+    if names:
+        medians = rows.filter("split = 'train'").groupBy(key).agg(*[F.percentile(c, 0.5).alias(f"__{c}") for c in names])
+        filled = [F.coalesce(c, f"__{c}", F.lit(0.0)).alias(c) for c in names]
+        rows = rows.join(medians, key, "left").select(*[c for c in rows.columns if c not in names], *filled)
+
+    def cycle(pos: np.ndarray) -> np.ndarray:
+        return fourier(pos, 24 * per_hour)
 
     def columns(f: pd.DataFrame) -> np.ndarray:
-        four = fourier(f["pos"].to_numpy())
-        return np.concatenate([four, f[names].ffill().fillna(0.0).to_numpy()], 1) if names else four
+        four = cycle(f["pos"].to_numpy())
+        return np.concatenate([four, f[names].to_numpy()], 1) if names else four
 
     def fit(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("pos").dropna(subset=["y"])
         if len(f) < 300:
             return pd.DataFrame({key: [], "model": []})
         y, x = f["y"].to_numpy(), columns(f)
-        m = Arima.fit(y, x, *select_order(y, x))
+        m = Arima.fit(y, x, *select_order(y, cycle(f["pos"].to_numpy())))
         return pd.DataFrame({key: [f[key].iloc[0]], "model": [[float(m.p), float(m.q), float(len(m.beta)), *m.beta, *m.phi, *m.theta]]})
 
     kind = table.schema[key].dataType.simpleString()
@@ -190,7 +207,7 @@ def arima_forecasts(
         x = columns(f)
         future = None
         if advance_fourier:
-            four = fourier(o + 1 + np.arange(steps))
+            four = cycle(o + 1 + np.arange(steps))
             future = np.concatenate([four, np.repeat(x[-1:, four.shape[1] :], steps, 0)], 1)
         return pd.DataFrame({key: f[key].iloc[0], "origin_pos": o, "lead": np.arange(1, steps + 1), "sim": m.forecast(f["y"].to_numpy(), x, steps, future)})
 
@@ -200,3 +217,25 @@ def arima_forecasts(
     truth = rows.select(key, (F.col("pos")).alias("__p"), F.col("y").alias("obs"))
     out = ask.join(fc, [key, "origin_pos", "lead"], "left").withColumn("__p", F.col("pos") + F.col("horizon_h") * per_hour).join(truth, [key, "__p"], "left")
     return out.select(key, "ts", "split", F.lit("arimax" if exog else "arima").alias("model"), "horizon_h", "obs", "sim")
+
+
+def benchmark(
+    table: DataFrame, predictors: list[str], current: str, horizons: tuple[int, ...], estimators: dict[str, tuple[Callable[[DataFrame], Estimator], int | None]], exog: tuple[str, ...] = (), per_hour: int = 6,
+    arima_window: int = 8640,
+) -> DataFrame:
+    """Long predictions ``ts, split, model, horizon_h, obs, sim`` of one site's training table by persistence, each of
+    ``estimators`` (name: estimator, cap of train rows), ARIMA and, with ``exog``, ARIMAX; ``obs`` is the table's target for all.
+
+    The table is read again for each fit: hand over one that is written or persisted. Only the fits run at once; predictions
+    stay lazy. ARIMA predicts no train rows.
+    """
+    keys = ("ts", "split")
+    parts = [persistence(table, current, horizons, keys)]
+    for name, (estimator, cap) in estimators.items():
+        parts += [fit_predict(table, predictors, f"target_{h}h", estimator, name, h, cap, keys) for h in horizons]
+    truth = parts[0].select("ts", "horizon_h", "obs")
+    site = table.withColumn("__site", F.lit(0))
+    for columns in ((), exog) if exog else ((),):
+        got = arima_forecasts(site, current, horizons, per_hour, window=arima_window, every=24 * per_hour, steps=48 * per_hour, exog=columns, key="__site")
+        parts.append(got.drop("__site", "obs").join(truth, ["ts", "horizon_h"]))
+    return reduce(DataFrame.unionByName, parts).select(*keys, "model", "horizon_h", "obs", "sim")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +118,15 @@ def arima_forecast(spark: SparkSession, d: str) -> DataFrame:
 @query("arimax_forecast")
 def arimax_forecast(spark: SparkSession, d: str) -> DataFrame:
     return metrics.skill(_arima(spark, d, ("month",)), "series_id", "model", "horizon_h", "split")
+
+
+@query("model_benchmark")
+def model_benchmark(spark: SparkSession, d: str) -> DataFrame:
+    """Six models at all horizons: a row for each split, and for each event of the test split (``event_id``)."""
+    t = training(spark, d).persist(StorageLevel.MEMORY_AND_DISK)  # a dozen fits read it
+    estimators = {"ridge": (models.ridge, None), "forest": (lambda x: models.forest(x, 100), 60_000), "boosted": (lambda x: models.boosted(x, 10, 4), None)}
+    exog = ("click", "error", "purchase", "click_lag_6h", "purchase_cum_3h", "error_cum_3h", "lateral_q")
+    p = models.benchmark(t, features.predictor_columns(t), "view", HORIZONS, estimators, exog, per_hour=1, arima_window=360)
+    tested = _windows(spark).filter(events.chronological_split("start_ts", "2024-01-18 00:00:00", "2024-01-24 00:00:00") == "test")
+    each = metrics.per_event(p.filter("split = 'test'"), tested, "model", "horizon_h", step=3_600_000_000).drop("obs_peak", "sim_peak").withColumn("split", F.lit("test"))
+    return metrics.evaluation(p, (50.0, 80.0), "model", "horizon_h", "split").unionByName(each, allowMissingColumns=True)
