@@ -1,6 +1,7 @@
 import io
 import zipfile
 from datetime import datetime, timedelta
+from xml.etree import ElementTree
 
 import numpy as np
 import pytest
@@ -170,3 +171,31 @@ def test_benchmark_gives_every_model_the_table_s_targets(spark):
     near = got[(got.horizon_h == 1) & (got.split != "train")].dropna(subset=["sim"])
     assert (near.sim - near.obs).abs().max() < 30
     table.unpersist()
+
+
+def test_round_binary_equals_a_language_s_rounding(spark):
+    rng = np.random.default_rng(3)
+    values = [0.125, 2.675, 1.005, -0.125, -2.675, 0.0, -0.0, 0.5, 1.5, 2.5, -0.5, 1e17, -3e300, 0.015, 1e-300, None]
+    values += [float(v) for v in rng.normal(0, 100, 3000)] + [float(k) / 8 for k in range(-400, 400)] + [(k * 10 + 5) / 1000 for k in range(-2000, 2000)] + [float(np.nextafter(k / 8, np.inf)) for k in range(-99, 99)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(2)
+    got = df.select("v", *[exprs.round_binary("v", d).alias(f"r{d}") for d in range(5)]).collect()
+    for r in got:
+        for d in range(5):
+            assert r[f"r{d}"] == (None if r.v is None else round(r.v, d)), (r.v, d)
+
+
+def test_series_are_written_and_read_by_pattern(spark, tmp_path):
+    rows = [(g, datetime(2024, 1, 1, h), None if h == 2 else float(h)) for g in ("g1", "g2", 'a<"&') for h in range(5)]
+    rain = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, value double")
+    simulator.write_series(simulator.incremental_rows(rain, 60), str(tmp_path / "s"))
+    assert simulator.read_series(spark, str(tmp_path / "s")).count() == 12
+    got = simulator.read_series(spark, str(tmp_path / "s"), "//G1/*//1Hour/*/").collect()
+    assert sorted((r.ts.hour, r.value) for r in got) == [(h, float(h)) for h in (0, 1, 3, 4)] and {r.units for r in got} == {"MM"}
+    assert simulator.read_series(spark, str(tmp_path / "s"), "//g1/FLOW/*/*/*/").count() == 0
+    inside = simulator.event_rows(rain.filter("series_id = 'g2'"), F.lit(datetime(2024, 1, 1, 1)).cast("timestamp_ntz"), F.lit(datetime(2024, 1, 1, 3)).cast("timestamp_ntz"), 60)
+    assert sorted(r.value for r in inside.collect()) == [1.0, 3.0]
+    text = simulator.gauges_xml(rain, "series_id", "f").first().text
+    names = [g.get("name") for g in ElementTree.fromstring(text)]
+    assert names == ['a<"&', "g1", "g2"]
+    control = rain.limit(1).select(simulator.control_xml(F.lit("a&b"), F.col("ts"), F.col("ts")).alias("x")).first().x
+    assert ElementTree.fromstring(control).get("name") == "a&b"

@@ -114,6 +114,26 @@ def row_max(*cols: Column | str) -> Column:
     return F.greatest(*[col(c) for c in cols])
 
 
+def round_binary(value: Column | str, digits: int = 0) -> Column:
+    """The binary value rounded to ``digits`` decimals, halves to even, as a language does that rounds the number itself and not
+    its shortest decimal text: 2.675 lies below the half and gives 2.67, 0.125 is a half and gives 0.12. ``bround`` and
+    ``round`` go by the text.
+
+    The product with the power of ten is split into its double and the exact rest (Veltkamp, Dekker), which tells on which side
+    of a half it lies. Values whose product reaches 2^52 are returned as they are.
+    """
+    x, scale = col(value).cast("double"), float(10**digits)
+    p, c = x * scale, 134217729.0
+    hi = lambda v: v * c - (v * c - v)
+    a, b = hi(x), hi(F.lit(scale))
+    rest = ((a * b - p) + a * (F.lit(scale) - b) + (x - a) * b) + (x - a) * (F.lit(scale) - b)
+    low = F.floor(p).cast("double")
+    over = p - low
+    up = (over > 0.5) | ((over == 0.5) & ((rest > 0) | ((rest == 0) & (F.pmod(low, F.lit(2.0)) == 1))))
+    # A product that is whole to its last bit, but lies below that number, still rounds to it.
+    return F.when(F.abs(p) >= 2.0**52, x).otherwise((low + F.when(up, 1.0).otherwise(0.0)) / scale + 0.0)
+
+
 def first_argmax(value: Column | str, order: Column | str) -> Column:
     """Aggregate: the ``order`` of the largest value, the first of ties; rows without a value don't count. Without ties of
     ``max_by``, which are unspecified."""
