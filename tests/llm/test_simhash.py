@@ -191,3 +191,61 @@ def test_names(spark):
     df = spark.createDataFrame(rows, "doc_id string, text string, __i string, __h int, cid int")
     got = sorted(map(tuple, drop_near_duplicates(df).collect()))
     assert got == [rows[1], rows[2]]
+
+
+def test_near_copies_meet_by_fingerprints_alone(spark, monkeypatch):
+    """The pipeline's stage finds texts within five bits by ball hashing, without a band that they share."""
+    import corpus_pipeline
+    from tidemark.llm import simhash as module
+
+    shingle_set, bands = module.shingle_set, module.BANDS
+    monkeypatch.setattr(module, "describe", lambda text, width: (np.frombuffer(xxhash.xxh3_128_digest(text) * (bands // 2), np.uint64) ^ np.arange(bands, dtype=np.uint64), shingle_set(text, width)))
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows += [(10 * g + k, " ".join(base[: 600 - k])) for k in range(4)]
+    # Fingerprints alike by what they repeat, with few shingles in common: the check on all shingles keeps them apart.
+    for k in range(4):
+        rows.append((900 + k, "the same few words again " * 3000 + " ".join(f"v{rng.randrange(10**6)}" for _ in range(20))))
+    fps = [brute_fp(t) for _, t in rows]
+    part = components(fps, 5)
+    assert len(set(part[-4:])) == 1 and all(len(set(part[4 * g : 4 * g + 4])) < 4 for g in range(12))
+    low = {p: min(i for (i, _), q in zip(rows, part) if p == q) for p in part}
+    want = sorted(i for (i, _), p in zip(rows, part) if i >= 900 or low[p] == i)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_dedup(spark, df, "").collect()) == want
+
+
+def test_groups_joined_by_fingerprints_and_bands(spark):
+    """Chains of links of both kinds are whole, also through classes of several fingerprints and sets that are joined already."""
+    from tidemark.llm.simhash import similar_groups
+
+    rng = random.Random(12)
+    rows, want = [], {}
+    for g in range(10):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts = [base, base[:299], base[:-1] + ["z"], [*base, *base[:296]], base[:260], base[:226], base[:225]]
+        for k, w in enumerate(texts):
+            rows.append((100 * g + k, " ".join(w)))
+            want[100 * g + k] = 100 * g
+    got = {r.id: r.group for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    sh = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    a, b, c = sh(base), sh(base[:260]), sh(base[:226])
+    assert len(c) / len(a) < 0.8 <= min(len(b) / len(a), len(c) / len(b))
+    assert bin(brute_fp(rows[0][1]) ^ brute_fp(rows[4][1])).count("1") > 5
+
+
+def test_two_blocks_lose_no_pair(spark):
+    from tidemark.llm.simhash import NEAR_BITS, NEAR_BLOCKS
+
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = fps.copy()
+    for i in range(len(near)):
+        for b in rng.choice(64, 1 + i % 5, replace=False).tolist():
+            near[i] ^= np.uint64(1 << b)
+    df = spark.createDataFrame([(int(f),) for f in np.concatenate([fps, near]).view(np.int64)], "fp long")
+    got = {frozenset((r.a, r.b)) for r in links(df, NEAR_BITS, NEAR_BLOCKS).collect()}
+    assert got == {frozenset((int(a), int(b))) for a, b in zip(fps.view(np.int64), near.view(np.int64))}

@@ -171,7 +171,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     return rows.join(joined.select("fp", "part").join(least, "part").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-#: Near-duplicates by similarity: BANDS keys of BAND_ROWS minima each. Texts of similarity J share a key with a chance of
+#: Near-duplicates by similarity: texts whose fingerprints, over shingles of FP_WORDS words, are within NEAR_BITS meet first.
+#: On one of two blocks such fingerprints are within 2 bits, so the ball is that of 3 bits: 66 variants in all.
+FP_WORDS, NEAR_BITS, NEAR_BLOCKS = 3, 5, 2
+#: Pairs of fingerprints further apart meet by BANDS keys of BAND_ROWS minima each. Texts of similarity J share a key with a chance of
 #: 1 - (1 - J ** BAND_ROWS) ** BANDS, however the edits lie: all but 4e-7 of pairs at 0.8, 3e-8 at 0.83.
 BANDS, BAND_ROWS = 28, 4
 #: Size of the sketch by which candidates are sifted: the smallest shingle hashes. Texts of fewer shingles are compared
@@ -331,20 +334,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``id, h, group``: near-duplicate groups of rows by word shingles: copies, and texts linked by chains of pairs with a
     Jaccard similarity of ``similarity`` or more; ``group`` is the smallest id. ``h`` is the text's hash.
 
-    Candidates share one of BANDS keys made of minima over the shingles: a pair at 0.8 fails to with a chance of 4e-7,
-    whether its edits are scattered or in one block; all members of a bucket are compared, each set of members once, and
-    what sketches cannot decide is decided on all shingles. Nulls: a null text is empty, texts without words are copies of each other; a null id is larger than all others.
+    SimHash fingerprints come first, as in ``cluster``: texts whose fingerprints are connected by steps of NEAR_BITS bits or
+    fewer, found by ball hashing, are one candidate set. Pairs that differ in more bits share one of BANDS keys made of minima
+    over the shingles: a pair at 0.8 fails to with a chance of 4e-7, whether its edits are scattered or in one block. Buckets
+    whose members the first step has joined are done. All members of a set are compared, each set of members once, and what
+    sketches cannot decide is decided on all shingles. Nulls: a null text is empty, texts without words are copies of each
+    other; a null id is larger than all others.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bands, sketches, cids = [], [], []
+        bands, sketches, cids, fps = [], [], [], []
         for t in utf8_views(batch.column(2)):
+            fps.append(simhash(shingle_hashes(t, FP_WORDS)))
             b, s = describe(t, width)
             bands.append((b >> np.uint64(32)).astype("<u4").tobytes())
             sketches.append(s[:SKETCH].astype("<u4").tobytes())
             cids.append(xxhash.xxh64_intdigest(s.tobytes()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.binary()), pa.array(sketches, pa.binary()), pa.array(np.array(cids, np.uint64).view(np.int64))], ["id", "h", "bands", "shingles", "cid"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.binary()), pa.array(sketches, pa.binary()), pa.array(np.array(cids, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64))], ["id", "h", "bands", "shingles", "cid", "fp"])
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width).astype("<u4").tobytes() for t in utf8_views(batch.column(1))]
@@ -352,24 +359,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     # A class (cid) is one set of shingles: copies, and texts that differ in case or white space alone, or in repeats.
-    rows = materialize(map_arrow(keyed, first, f"id {kind}, h long, bands binary, shingles binary, cid long"), "near-rows")
+    rows = materialize(map_arrow(keyed, first, f"id {kind}, h long, bands binary, shingles binary, cid long, fp long"), "near-rows")
     # One row stands for a class: that of its smallest id. Its sketch stays in the table of rows until it is asked for.
     classes = materialize(rows.groupBy("cid").agg(F.min("id").alias("low"), F.min_by("h", F.struct(F.col("id").isNull(), "id", "h")).alias("low_h"), F.first("bands").alias("bands")), "near-classes")
 
     def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cids = batch.column(0).to_numpy()
-        short = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, BANDS)
+        short = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").reshape(-1, BANDS)
         keys = (short.astype(np.int64) | np.arange(BANDS) << 32).reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(cids, BANDS))], ["key", "cid"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.repeat(batch.column(j).to_numpy(), BANDS)) for j in range(2))], ["key", "cid", "root"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members of buckets of several, under a hash of the set, so that equal sets meet."""
-        held = [np.zeros(0, np.int64) for _ in range(2)]
+        """Members of buckets that are not joined yet, under a hash of the set, so that equal sets meet."""
+        held = [np.zeros(0, np.int64) for _ in range(3)]
 
-        def several(k: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        def several(k: np.ndarray, c: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
             starts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1])
             sizes = np.diff(np.append(starts, len(k)))
-            c, sizes = c[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+            apart = np.minimum.reduceat(root, starts) < np.maximum.reduceat(root, starts)
+            c, sizes = c[np.repeat(apart, sizes)], sizes[apart]
             sums = np.add.reduceat(_mixed(c.view(np.uint64), 3), np.cumsum(sizes) - sizes) if len(c) else np.zeros(0, np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(np.repeat(sums, sizes).view(np.int64)), pa.array(c)], ["set", "cid"])
 
@@ -382,8 +389,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if len(held[0]):
             yield several(*held)
 
-    met = map_arrow(classes.select("cid", "bands"), emit, "key long, cid long").repartition("key").sortWithinPartitions("key", "cid").mapInArrow(tidy(gather), "set long, cid long").distinct()
-
     def by_set(solve):
         """Runs ``solve(set, cids, shingles)`` for each set of rows that are sorted by set and cid; it returns rows (set, a, b)."""
 
@@ -416,25 +421,39 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return run
 
     def sift(k: int, cids: list[int], sketches: list[np.ndarray]) -> list[tuple]:
-        """Links have no set; a doubtful pair is a set of its own, the same wherever it is met."""
+        """Links, each to the first member of its part, have no set; a doubtful pair is a set of its own, the same wherever it
+        is met."""
         sure, doubts, whole = _sift(cids, sketches, similarity)
+        roots: dict[int, int] = {}
+        for a, b in sure:
+            roots[b] = roots.get(a, a)
         open_ = [(k, c, None) for c in cids] if whole else []
         if doubts:
             ab = np.array(doubts, np.int64)
             keys = _mixed(_mixed(ab.view(np.uint64)[:, 0], 1) + ab.view(np.uint64)[:, 1], 2).view(np.int64).tolist()
             open_ += [(p, c, None) for p, pair in zip(keys, doubts) for c in pair]
-        return [(None, a, b) for a, b in sure] + open_
+        return [(None, a, b) for b, a in roots.items()] + open_
 
     def decide(k: int, cids: list[int], sets: list[np.ndarray]) -> list[tuple]:
         return [(None, a, b) for a, b in _similar_links(cids, sets, similarity)]
 
     firsts = classes.select("cid", F.col("low").alias("__l"), F.col("low_h").alias("__lh"))
-    known = rows.join(firsts, "cid").filter(F.col("id").eqNullSafe(F.col("__l")) & (F.col("h") == F.col("__lh"))).select("cid", "shingles")
+    known = lambda firsts: rows.join(firsts, "cid").filter(F.col("id").eqNullSafe(F.col("__l")) & (F.col("h") == F.col("__lh"))).select("cid", "shingles")
 
     def compared(sets: DataFrame, shingles: DataFrame, solve) -> DataFrame:
         return sets.join(shingles, "cid").select("set", "cid", "shingles").repartition("set").sortWithinPartitions("set", "cid").mapInArrow(tidy(by_set(solve)), "set long, a long, b long").distinct()
 
-    sifted = materialize(compared(met, known, sift), "near-sifted")
+    balls = materialize(links(rows.select("fp").distinct(), NEAR_BITS, NEAR_BLOCKS), "near-balls")
+    parts = connected_components(balls).withColumnRenamed("node", "fp")
+    # Copies have one class and one fingerprint. A class has several if its texts repeat shingles unequally often.
+    alike = rows.select("cid", "fp").distinct().join(parts, "fp", "left").select(F.coalesce("part", "fp").alias("set"), "cid").distinct()
+    alike = materialize(alike.join(alike.groupBy("set").count().filter("count > 1").select("set"), "set"), "near-alike")
+    close = materialize(compared(alike, known(firsts.join(alike.select("cid").distinct(), "cid")), sift), "near-close")
+    # Classes of one root are joined already; of several roots, which a class of several fingerprints may have, any will do.
+    roots = close.filter(F.col("set").isNull()).groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("root"))
+    keys = map_arrow(classes.join(roots, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "bands"), emit, "key long, cid long, root long")
+    met = keys.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(tidy(gather), "set long, cid long").distinct()
+    sifted = materialize(compared(met, known(firsts), sift), "near-sifted").unionByName(close)
     undecided = sifted.filter(F.col("set").isNotNull()).select("set", F.col("a").alias("cid"))
     # All shingles are made again, from one text of each class that is in doubt; few such classes are sent to the texts.
     asked = materialize(classes.join(undecided.select("cid").distinct(), "cid").select("cid", F.col("low_h").alias("h")), "near-asked")
